@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veristrata.llm import form_copies, site_lines, sql
+from veristrata.llm import form_copies, near_copies, site_lines, sql
 from veristrata.session import table
 
 ORACLES = sql.ORACLES
@@ -18,6 +18,14 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return form_copies.collapsed(table(spark, d, "claims"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.record_pairs(table(spark, d, "claims"), table(spark, d, "peer_groups"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.record_classes(table(spark, d, "claims"), table(spark, d, "peer_groups"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.found(table(spark, d, "claims"), table(spark, d, "sources"))
 
@@ -26,4 +34,4 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.cleaned(table(spark, d, "claims"), table(spark, d, "sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p6_found, p6_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p6_found, p6_cleaned)}

@@ -19,7 +19,19 @@ forms AS (
 
 _LINE = r"regexp_replace(trim(regexp_replace(lower(line), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"
 
+_SETS = r"""
+WITH w AS (SELECT DISTINCT id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM claims WHERE id IS NOT NULL AND text IS NOT NULL),
+items AS (
+  SELECT DISTINCT 'claims' AS tab, id, unnest(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS item FROM w WHERE len(ws) >= 8
+  UNION ALL
+  SELECT DISTINCT 'peer_groups', id, lower(trim(m, chr(9) || chr(10) || chr(13) || ' ')) FROM (SELECT id, unnest(CAST(members AS VARCHAR[])) AS m FROM peer_groups WHERE id IS NOT NULL) WHERE trim(m) <> ''
+), sizes AS (SELECT tab, id, count(*) AS n FROM items GROUP BY ALL),
+common AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM items a JOIN items b ON a.tab = b.tab AND a.item = b.item AND a.id < b.id GROUP BY ALL)
+"""
+
 ORACLES = {
+    "p2_found": _SETS + """SELECT common.tab, id_a, id_b FROM common
+JOIN sizes x ON x.tab = common.tab AND x.id = id_a JOIN sizes y ON y.tab = common.tab AND y.id = id_b WHERE 10 * c >= 7 * (x.n + y.n - c)""",
     "p1_found": _FORMS + "SELECT DISTINCT id AS claim_id, first_id FROM forms JOIN sets USING (form) WHERE n_copies > 1",
     "p1_collapsed": _FORMS + """SELECT first_id, n_copies FROM sets UNION ALL
 SELECT DISTINCT id, 1 FROM claims LEFT JOIN (SELECT id, form FROM forms WHERE form IS NOT NULL) USING (id) WHERE form IS NULL AND id IS NOT NULL""",
