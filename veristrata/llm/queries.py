@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veristrata.llm import form_copies, near_copies, site_lines, sql
+from veristrata.llm import containers, encode, form_copies, near_copies, site_lines, sql
 from veristrata.session import table
 
 ORACLES = sql.ORACLES
@@ -34,4 +34,17 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.cleaned(table(spark, d, "claims"), table(spark, d, "sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p6_found, p6_cleaned)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return containers.assigned(encode.encoded(documents, only_count=True), table(spark, d, "container_specs"), documents.count())
+
+
+def p9_summary(spark: SparkSession, d: str) -> DataFrame:
+    return containers.summary(p9_containers(spark, d), table(spark, d, "container_specs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p6_found, p6_cleaned, p8_ids, p9_containers, p9_summary)}
