@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veristrata.llm import containers, encode, form_copies, near_copies, site_lines, sql
+from veristrata.llm import containers, encode, form_copies, near_copies, reading, site_lines, sql
 from veristrata.session import table
 
 ORACLES = sql.ORACLES
@@ -47,4 +48,13 @@ def p9_summary(spark: SparkSession, d: str) -> DataFrame:
     return containers.summary(p9_containers(spark, d), table(spark, d, "container_specs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p6_found, p6_cleaned, p8_ids, p9_containers, p9_summary)}
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "documents").select("doc_id", "doc_kind")
+    return p10_levels(spark, d).join(kinds, "doc_id").groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p6_found, p6_cleaned, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
