@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.session import written
+
 WINDOW, SHARD, SLACK = 64, 16384, 0.04
 MAX_SPECS = 1000
 
@@ -178,6 +180,7 @@ def assigned(sizes: DataFrame, specs: DataFrame, n_items: int, shard: int = SHAR
         raise ValueError(f"more than {MAX_SPECS} container specs")
     empty = "array<struct<spec_id:bigint,capacity:bigint>>"
     each = F.array(*(F.struct(F.lit(s).cast("long").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for s, c in known)) if known else F.array().cast(empty)
+    sizes = written(sizes.select("doc_id", "n_tokens"), "sizes")  # two uses, one pass over the texts
     items = sizes.select("doc_id", "n_tokens", F.explode(each).alias("spec")).select("doc_id", "n_tokens", "spec.*")
     full = F.floor(F.col("n_tokens") / F.col("capacity"))
     whole = items.where("n_tokens >= capacity").select("spec_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no"))

@@ -199,6 +199,7 @@ def _encode(id_col: str, text_col: str, ranks, lexicon, only_count: bool):
 
         find, merge, held = regex.compile(PATTERN).findall, merger(ranks.value), lexicon()
         known: dict[str, list[int]] = {}
+        size: dict[str, int] = {}
         for batch in batches:
             ids_of = batch.column(batch.schema.get_field_index(id_col))
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -206,12 +207,13 @@ def _encode(id_col: str, text_col: str, ranks, lexicon, only_count: bool):
                 divided = [find(t) if t else () for t in texts[a : a + 512]]
                 if len(known) > 200_000:
                     known.clear()
+                    size.clear()
                 new = list({w for ws in divided for w in ws if w not in known})
                 if new:
                     for word, number in zip(new, held.numbers([w.encode() for w in new]).tolist()):
                         known[word] = held.outputs(number) if number >= 0 else merge(word)
                 if only_count:
-                    size = {w: len(i) for w, i in known.items()}
+                    size.update((w, len(known[w])) for w in new)
                     out = pa.array([sum([size[w] for w in ws]) for ws in divided], pa.int64())
                 else:
                     out = pa.array([[i for w in ws for i in known[w]] for ws in divided], pa.list_(pa.int32()))
