@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import containers, encode, form_copies, near_copies, reading, sentences, site_lines, sql
+from veristrata.llm import containers, encode, form_copies, near_copies, pii, reading, sentences, site_lines, sql
 from veristrata.session import table
 
 ORACLES = sql.ORACLES
@@ -40,6 +40,14 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.cleaned(table(spark, d, "claims"), table(spark, d, "sources"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.places(table(spark, d, "sources"), "sources", "content").unionByName(pii.places(table(spark, d, "claims"), "claims", "text"))
+
+
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "sources"), "sources", "content").unionByName(pii.masked(table(spark, d, "claims"), "claims", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
 
@@ -62,4 +70,4 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return p10_levels(spark, d).join(kinds, "doc_id").groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p6_found, p6_cleaned, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p6_found, p6_cleaned, p7_found, p7_masked, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
