@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import containers, encode, form_copies, near_copies, pii, reading, sentences, site_lines, sql
+from veristrata.llm import containers, encode, form_copies, near_copies, pii, reading, sentences, shared_spans, site_lines, sql
 from veristrata.session import table
 
 ORACLES = sql.ORACLES
@@ -32,6 +32,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return whole.unionByName(sentences.sentence_units(table(spark, d, "evidence"), "evidence", "text", fragment=True))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.spans(table(spark, d, "claims"), "claims", "text").unionByName(shared_spans.spans(table(spark, d, "sources"), "sources", "content"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.found(table(spark, d, "claims"), table(spark, d, "sources"))
 
@@ -70,4 +74,4 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return p10_levels(spark, d).join(kinds, "doc_id").groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p6_found, p6_cleaned, p7_found, p7_masked, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p5_found, p6_found, p6_cleaned, p7_found, p7_masked, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
