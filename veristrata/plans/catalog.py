@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veristrata.plans import orphan_queries
+from veristrata.plans import orphan_queries, text_queries
 
-_PARTS = [orphan_queries]
+_PARTS = [orphan_queries, text_queries]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
