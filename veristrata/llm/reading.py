@@ -10,8 +10,10 @@ The two steps alternate over all documents. Graded documents are held at their s
 offsets taken out), all others join from the second round on with weight UNGRADED. At the end levels are mapped to
 grades by a line fitted on the graded documents and kept within 1 and 5.
 
-Words are hashed into BUCKETS, so the parameters broadcast and collected are 2^18 numbers whatever the vocabulary.
-Documents stay distributed: each round is one pass whose tasks send sums per bucket, merged on the executors.
+Every distinct word has its own parameter: words are named by 64-bit hashes (two of a million words share one with a
+chance of 3e-8) and numbered in the order of the hashes. The parameters broadcast and collected are one number per
+distinct word, so they grow with the vocabulary. Documents stay distributed: each round is one pass whose tasks send
+the sums of the words they met, merged on the executors.
 
 Defined cases. Null and empty texts have no words: they get the mean of the grades and n_words 0. Grades that are
 null or outside 1 to 5 and those of unknown documents don't count; of repeated rows of one document and rater the
@@ -21,7 +23,7 @@ a level. Extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veristrata.session import written
 
-BUCKETS, BLOCK = 1 << 18, 1 << 13
+BLOCK = 1 << 13
 KAPPA, PRIOR, UNGRADED, ROUNDS = 2.0, 1.0, 0.3, 2
 #: Ungraded documents with fewer known words are too uncertain to teach words.
 LEAST_WORDS = 8
@@ -48,14 +50,32 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             own = set()
             for word in set(find(text)) if text else ():
-                bucket = known.get(word)
-                if bucket is None:
+                name = known.get(word)
+                if name is None:
                     if len(known) > 300_000:
                         known.clear()
-                    bucket = known[word] = zlib.crc32(word.lower().encode()) & (BUCKETS - 1)
-                own.add(bucket)
-            lists.append(np.fromiter(own, np.int32, len(own)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "items"])
+                    name = known[word] = int.from_bytes(hashlib.blake2b(word.lower().encode(), digest_size=8).digest(), "little", signed=True)
+                own.add(name)
+            lists.append(np.fromiter(own, np.int64, len(own)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "items"])
+
+
+def vocabulary(items: DataFrame) -> np.ndarray:
+    """The names of all distinct words in order; a word's place is its number."""
+    return np.sort(items.select(F.explode("items").alias("w")).distinct().toArrow().column("w").to_numpy())
+
+
+def _number(names):
+    """Items as numbers of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            numbers = np.searchsorted(names.value, lists.flatten().to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers)), batch.column(2)], names=["doc_id", "items", "grade"])
+
+    return run
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -67,7 +87,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 class Words:
-    """Difficulty of each bucket, less the mean; whether it is known; the variance v."""
+    """Difficulty of each word, less the mean; whether it is known; the variance v."""
 
     def __init__(self, n: np.ndarray, total: np.ndarray, mean: float, var: float) -> None:
         s = (total - n * mean) / (max(var, 1e-9) * (n + KAPPA))
@@ -86,11 +106,11 @@ class Words:
         return add(self.s[items]) / (n * self.v + 1 / PRIOR), n
 
 
-def _sums(words, mean: float, sd: float):
-    """Per task and block of buckets: weighted documents, levels and squares; graded documents are pinned."""
+def _sums(words, many_words: int, mean: float, sd: float):
+    """Per task and block of words: weighted documents, levels and squares; graded documents are pinned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, square = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
+        n, total, square = np.zeros(many_words), np.zeros(many_words), 0.0
         for batch in batches:
             lists, grade = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             pinned = ~np.isnan(grade)
@@ -102,31 +122,37 @@ def _sums(words, mean: float, sd: float):
             level, weight = np.where(pinned, (np.nan_to_num(grade) - mean) / sd, level), np.where(pinned, 1.0, weight)
             many = np.diff(lists.offsets.to_numpy())
             items, w, t = lists.flatten().to_numpy(), np.repeat(weight, many), np.repeat(level, many)
-            n += np.bincount(items, w, BUCKETS)
-            total += np.bincount(items, w * t, BUCKETS)
+            np.add.at(n, items, w)
+            np.add.at(total, items, w * t)
             square += float((w * t * t).sum())
         lane = TaskContext.get().partitionId() % 16
-        for b in range(BUCKETS // BLOCK):
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
-            if n[part].any() or not b:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([lane], pa.int32()), pa.array([n[part].astype(np.float32).tobytes()], pa.binary()), pa.array([total[part].astype(np.float32).tobytes()], pa.binary()), pa.array([square if not b else 0.0])], names=["block", "lane", "n", "total", "square"])
+        met = np.flatnonzero(n)
+        for part in np.split(met, np.flatnonzero(np.diff(met // BLOCK)) + 1):
+            if len(part):
+                block = int(part[0]) // BLOCK
+                data = [(part - block * BLOCK).astype(np.uint16).tobytes(), n[part].astype(np.float32).tobytes(), total[part].astype(np.float32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x], pa.binary()) for x in data), pa.array([square])], names=["block", "lane", "at", "n", "total", "square"])
+                square = 0.0
 
     return run
 
 
-_SUMS = "block int, lane int, n binary, total binary, square double"
+_SUMS = "block int, lane int, at binary, n binary, total binary, square double"
 
 
 def _merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    n, total = (sum(np.frombuffer(x, np.float32).astype(np.float64) for x in part[c]).astype(np.float32).tobytes() for c in ("n", "total"))
-    return pd.DataFrame({"block": [key[0]], "lane": [0], "n": [n], "total": [total], "square": [part["square"].sum()]})
+    at = np.frombuffer(b"".join(part["at"]), np.uint16)
+    n, total = (np.bincount(at, np.frombuffer(b"".join(part[c]), np.float32), BLOCK) for c in ("n", "total"))
+    met = np.unique(at)
+    data = {"at": met, "n": n[met].astype(np.float32), "total": total[met].astype(np.float32)}
+    return pd.DataFrame({"block": [key[0]], "lane": [0], **{c: [x.tobytes()] for c, x in data.items()}, "square": [part["square"].sum()]})
 
 
-def _word_step(docs: DataFrame, words, mean: float, sd: float) -> Words:
-    sums = docs.select("items", "grade").mapInArrow(_sums(words, mean, sd), _SUMS)
-    n, total, square = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
+def _word_step(docs: DataFrame, words, many_words: int, mean: float, sd: float) -> Words:
+    sums = docs.select("items", "grade").mapInArrow(_sums(words, many_words, mean, sd), _SUMS)
+    n, total, square = np.zeros(many_words), np.zeros(many_words), 0.0
     for row in sums.groupBy("block", "lane").applyInPandas(_merge, _SUMS).groupBy("block").applyInPandas(_merge, _SUMS).toLocalIterator():
-        part = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
+        part = row["block"] * BLOCK + np.frombuffer(row["at"], np.uint16).astype(np.int64)
         n[part], total[part] = np.frombuffer(row["n"], np.float32), np.frombuffer(row["total"], np.float32)
         square += row["square"]
     centre = total.sum() / max(n.sum(), 1e-9)
@@ -152,8 +178,10 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, level double, error double, n_words int"
-    items = documents.select("doc_id", "text").mapInArrow(_items, f"doc_id {kind}, items array<int>")
-    docs = written(items.join(grades(labels), "doc_id", "left"), "reading-items")
+    items = documents.select("doc_id", "text").mapInArrow(_items, f"doc_id {kind}, items array<bigint>")
+    items = written(items.join(grades(labels), "doc_id", "left"), "reading-items")
+    names = vocabulary(items)
+    docs = written(items.mapInArrow(_number(spark.sparkContext.broadcast(names)), f"doc_id {kind}, items array<int>, grade double"), "reading-numbers")
     graded = docs.where("grade IS NOT NULL")
     mean, sd, n = graded.agg(F.avg("grade"), F.stddev_pop("grade"), F.count(F.lit(1))).first()
     if not n:
@@ -161,7 +189,7 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     sd = sd or 1.0
     words = None
     for r in range(max(1, rounds)):
-        words = spark.sparkContext.broadcast(_word_step(docs if r else graded, words, mean, sd))
+        words = spark.sparkContext.broadcast(_word_step(docs if r else graded, words, len(names), mean, sd))
     raw = graded.select("doc_id", "items").mapInArrow(_apply(words, None), schema).join(grades(labels), "doc_id")
     slope, x, y = raw.agg(F.coalesce(F.covar_pop("level", "grade") / F.nullif(F.var_pop("level"), F.lit(0.0)), F.lit(0.0)), F.avg("level"), F.avg("grade")).first()
     return docs.select("doc_id", "items").mapInArrow(_apply(words, (slope, y - slope * x)), schema)
