@@ -6,9 +6,12 @@ of the difficulties of its words is all that a document's level depends on:
     t = sum(s_w - m) / (n * v + 1 / PRIOR)        m, v: mean and variance of difficulty under p
 and a word's difficulty is how far the levels of the documents it occurs in lie from the mean, shrunk by KAPPA:
     s_w = (sum of t over w's documents - n_w * mean t) / (variance of t * (n_w + KAPPA))
-The two steps alternate over all documents. Graded documents are held at their standardised mean grade (raters'
-offsets taken out), all others join from the second round on with weight UNGRADED. At the end levels are mapped to
-grades by a line fitted on the graded documents and kept within 1 and 5.
+The two steps alternate over all documents until no level moves by TOLERANCE or more. Graded documents are held at
+their standardised mean grade (raters' offsets taken out). From the second step on every other document counts by its
+certainty, UNGRADED * n * v / (n * v + 1 / PRIOR): one without a known word has none yet and gets it as its words become
+known. The levels of these documents are centred and, where they spread more than the prior, scaled to it, as nothing
+else holds the scale of a group without grades. At the end levels are mapped to grades by a line fitted on the graded
+documents and kept within 1 and 5.
 
 Every distinct word has its own parameter: words are named by 64-bit hashes (two of a million words share one with a
 chance of 3e-8) and numbered in the order of the hashes. The parameters broadcast and collected are one number per
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 from veristrata.session import written
 
 BLOCK = 1 << 13
-KAPPA, PRIOR, UNGRADED, ROUNDS = 2.0, 1.0, 0.3, 2
-#: Ungraded documents with fewer known words are too uncertain to teach words.
-LEAST_WORDS = 8
+KAPPA, PRIOR, UNGRADED = 2.0, 1.0, 0.3
+#: Standard deviations of level. MOST_ROUNDS only guards against a fit that never settles, which raises an error.
+TOLERANCE, MOST_ROUNDS = 0.01, 500
+#: Tasks from which sums are merged in two steps.
+MANY_TASKS = 64
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,55 +111,81 @@ class Words:
         return add(self.s[items]) / (n * self.v + 1 / PRIOR), n
 
 
-def _sums(words, many_words: int, mean: float, sd: float):
-    """Per task and block of words: weighted documents, levels and squares; graded documents are pinned."""
+def _sums(words, before, many_words: int, mean: float, sd: float):
+    """Per task and block of words the weighted documents and levels, and FACTS of all documents.
+
+    Without words: graded documents at their grades. With words: the others at their levels; graded ones only count in
+    the greatest change of a level since ``before``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, square = np.zeros(many_words), np.zeros(many_words), 0.0
+        n, total, facts, change = np.zeros(many_words), np.zeros(many_words), np.zeros(6), 0.0
         for batch in batches:
             lists, grade = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            pinned = ~np.isnan(grade)
+            many, pinned = np.diff(lists.offsets.to_numpy()), ~np.isnan(grade)
             if words is None:
-                level, weight = np.zeros(len(grade)), np.zeros(len(grade))
+                level, sure = (np.nan_to_num(grade) - mean) / sd, pinned * 1.0
+                weight = sure
             else:
                 level, seen = words.value.levels(lists)
-                level, weight = np.clip(level, -2.5, 2.5), np.where(seen >= LEAST_WORDS, UNGRADED, 0.0)
-            level, weight = np.where(pinned, (np.nan_to_num(grade) - mean) / sd, level), np.where(pinned, 1.0, weight)
-            many = np.diff(lists.offsets.to_numpy())
+                sure = np.where(pinned, 0.0, seen * words.value.v / (seen * words.value.v + 1 / PRIOR))
+                weight = UNGRADED * sure
+                if before is not None and len(level):
+                    change = max(change, float(np.abs(level - before.value.levels(lists)[0]).max()))
             items, w, t = lists.flatten().to_numpy(), np.repeat(weight, many), np.repeat(level, many)
             np.add.at(n, items, w)
             np.add.at(total, items, w * t)
-            square += float((w * t * t).sum())
+            for i, x in enumerate((sure, weight * many)):
+                facts[3 * i : 3 * i + 3] += x.sum(), (x * level).sum(), (x * level * level).sum()
         lane = TaskContext.get().partitionId() % 16
         met = np.flatnonzero(n)
-        for part in np.split(met, np.flatnonzero(np.diff(met // BLOCK)) + 1):
-            if len(part):
-                block = int(part[0]) // BLOCK
-                data = [(part - block * BLOCK).astype(np.uint16).tobytes(), n[part].astype(np.float32).tobytes(), total[part].astype(np.float32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x], pa.binary()) for x in data), pa.array([square])], names=["block", "lane", "at", "n", "total", "square"])
-                square = 0.0
+        parts = [part for part in np.split(met, np.flatnonzero(np.diff(met // BLOCK)) + 1) if len(part)] or [met]
+        for i, part in enumerate(parts):
+            block = int(part[0]) // BLOCK if len(part) else 0
+            data = [(part - block * BLOCK).astype(np.uint16).tobytes(), n[part].astype(np.float32).tobytes(), total[part].astype(np.float32).tobytes(), (facts if not i else np.zeros(6)).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x], pa.binary()) for x in data), pa.array([change])], names=["block", "lane", "at", "n", "total", "facts", "change"])
 
     return run
 
 
-_SUMS = "block int, lane int, at binary, n binary, total binary, square double"
+_SUMS = "block int, lane int, at binary, n binary, total binary, facts binary, change double"
 
 
 def _merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     at = np.frombuffer(b"".join(part["at"]), np.uint16)
     n, total = (np.bincount(at, np.frombuffer(b"".join(part[c]), np.float32), BLOCK) for c in ("n", "total"))
     met = np.unique(at)
-    data = {"at": met, "n": n[met].astype(np.float32), "total": total[met].astype(np.float32)}
-    return pd.DataFrame({"block": [key[0]], "lane": [0], **{c: [x.tobytes()] for c, x in data.items()}, "square": [part["square"].sum()]})
-
-
-def _word_step(docs: DataFrame, words, many_words: int, mean: float, sd: float) -> Words:
-    sums = docs.select("items", "grade").mapInArrow(_sums(words, many_words, mean, sd), _SUMS)
-    n, total, square = np.zeros(many_words), np.zeros(many_words), 0.0
-    for row in sums.groupBy("block", "lane").applyInPandas(_merge, _SUMS).groupBy("block").applyInPandas(_merge, _SUMS).toLocalIterator():
-        part = row["block"] * BLOCK + np.frombuffer(row["at"], np.uint16).astype(np.int64)
-        n[part], total[part] = np.frombuffer(row["n"], np.float32), np.frombuffer(row["total"], np.float32)
-        square += row["square"]
+    data = {"at": met, "n": n[met].astype(np.float32), "total": total[met].astype(np.float32), "facts": sum(np.frombuffer(x) for x in part["facts"])}
+    return pd.DataFrame({"block": [key[0]], "lane": [0], **{c: [x.tobytes()] for c, x in data.items()}, "change": [part["change"].max()]})
+
+
+class Sums:
+    """Per word the weighted documents n and their levels total, the square of levels over items; change of levels."""
+
+    def __init__(self, docs: DataFrame, words, before, many_words: int, mean: float, sd: float) -> None:
+        sums = docs.select("items", "grade").mapInArrow(_sums(words, before, many_words, mean, sd), _SUMS)
+        if docs.rdd.getNumPartitions() > MANY_TASKS:
+            sums = sums.groupBy("block", "lane").applyInPandas(_merge, _SUMS)
+        self.n, self.total, facts, self.change = np.zeros(many_words), np.zeros(many_words), np.zeros(6), 0.0
+        for row in sums.groupBy("block").applyInPandas(_merge, _SUMS).toLocalIterator():
+            part = row["block"] * BLOCK + np.frombuffer(row["at"], np.uint16).astype(np.int64)
+            self.n[part], self.total[part] = np.frombuffer(row["n"], np.float32), np.frombuffer(row["total"], np.float32)
+            facts, self.change = facts + np.frombuffer(row["facts"]), max(self.change, row["change"])
+        self.sure, self.items, self.square = facts[:3], facts[3:], facts[5]
+
+    def scaled(self) -> Sums:
+        """Levels centred and, where they spread more than the prior, scaled to it."""
+        weight, level, square = self.sure
+        centre = level / max(weight, 1e-9)
+        spread = max(1.0, (max(square / max(weight, 1e-9) - centre**2, 0.0) * PRIOR**-1) ** 0.5)
+        weight, level, square = self.items
+        self.total = (self.total - centre * self.n) / spread
+        self.square = (square - 2 * centre * level + centre**2 * weight) / spread**2
+        return self
+
+
+def _words(*parts: Sums) -> Words:
+    n, total, square = (sum(getattr(p, c) for p in parts) for c in ("n", "total", "square"))
     centre = total.sum() / max(n.sum(), 1e-9)
     return Words(n, total, centre, square / max(n.sum(), 1e-9) - centre**2)
 
@@ -173,7 +204,7 @@ def _apply(words, line: tuple[float, float] | None):
     return run
 
 
-def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, level (1 to 5, as the raters' grades), error (its standard error), n_words (distinct)."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -187,9 +218,19 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     if not n:
         return docs.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("error"), F.size("items").alias("n_words"))
     sd = sd or 1.0
-    words = None
-    for r in range(max(1, rounds)):
-        words = spark.sparkContext.broadcast(_word_step(docs if r else graded, words, len(names), mean, sd))
+    share, size = spark.sparkContext.broadcast, len(names)
+    pinned = Sums(graded, None, None, size, mean, sd)
+    before, words = None, share(_words(pinned))
+    for _ in range(MOST_ROUNDS):
+        others = Sums(docs, words, before, size, mean, sd)
+        settled = before is not None and others.change < TOLERANCE
+        if before is not None:
+            before.unpersist()
+        if settled:
+            break
+        before, words = words, share(_words(pinned, others.scaled()))
+    else:
+        raise RuntimeError(f"levels still change by {others.change} after {MOST_ROUNDS} rounds")
     raw = graded.select("doc_id", "items").mapInArrow(_apply(words, None), schema).join(grades(labels), "doc_id")
     slope, x, y = raw.agg(F.coalesce(F.covar_pop("level", "grade") / F.nullif(F.var_pop("level"), F.lit(0.0)), F.lit(0.0)), F.avg("level"), F.avg("grade")).first()
     return docs.select("doc_id", "items").mapInArrow(_apply(words, (slope, y - slope * x)), schema)
