@@ -30,7 +30,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new one in local mode (tests). Raises on a cluster without it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="veristrata-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
