@@ -30,6 +30,13 @@ common AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM items a
 """
 
 ORACLES = {
+    "p2_classes": _SETS + """, cls AS (SELECT tab, id, list_sort(list(item)) AS s FROM items GROUP BY ALL),
+reps AS (SELECT tab, s, min(id) AS class_id, count(*) AS n_copies FROM cls GROUP BY ALL),
+near AS (SELECT common.tab, id_a, id_b FROM common
+  JOIN sizes x ON x.tab = common.tab AND x.id = id_a JOIN sizes y ON y.tab = common.tab AND y.id = id_b
+  JOIN reps p ON p.tab = common.tab AND p.class_id = id_a JOIN reps q ON q.tab = common.tab AND q.class_id = id_b WHERE 10 * c >= 7 * (x.n + y.n - c) AND p.s <> q.s),
+ends AS (SELECT tab, id, count(*) AS n_links FROM (SELECT tab, id_a AS id FROM near UNION ALL SELECT tab, id_b FROM near) GROUP BY ALL)
+SELECT cls.tab, cls.id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM cls JOIN reps USING (tab, s) LEFT JOIN ends ON ends.tab = cls.tab AND ends.id = class_id""",
     "p2_found": _SETS + """SELECT common.tab, id_a, id_b FROM common
 JOIN sizes x ON x.tab = common.tab AND x.id = id_a JOIN sizes y ON y.tab = common.tab AND y.id = id_b WHERE 10 * c >= 7 * (x.n + y.n - c)""",
     "p1_found": _FORMS + "SELECT DISTINCT id AS claim_id, first_id FROM forms JOIN sets USING (form) WHERE n_copies > 1",
