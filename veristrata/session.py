@@ -44,14 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df once as Parquet into the shared folder and read it back.
+def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """Cut lineage: write df once as Parquet into the shared folder, by parts where named, and read it back.
 
     Every executor can read the files, so losing one loses no data. The folder's owner removes them.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
