@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.session import shared_dir
+from veristrata.session import shared_dir, written
 
 FREQUENT = 1 << 16
 #: Longer words are left to exact merging.
@@ -175,9 +175,27 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select(text_col).mapInArrow(_count_words(text_col), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Counts up to EXACT are cut exactly, larger ones in steps of 1/STEPS of a doubling: a few hundred rows in all.
+EXACT, STEPS = 64, 8
+
+
+def least_count(counts: DataFrame, frequent: int) -> int:
+    """The least n at which no more than ``frequent`` words have n or more occurrences, from a histogram of a few hundred rows."""
+    step = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.floor(EXACT + STEPS * F.log2(F.col("n") / EXACT)))
+    held, least = 0, 1 << 62
+    for row in counts.groupBy(step.cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        held += row["words"]
+        if held > frequent:
+            break
+        least = row["n"]
+    return least
+
+
 def build_lexicon(documents: DataFrame, ranks: dict[bytes, int], text_col: str = "text", frequent: int = FREQUENT) -> Lexicon:
-    """The lexicon of the ``frequent`` commonest words of at most LONGEST bytes and two or more occurrences; ties by word."""
-    common = word_counts(documents, text_col).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(frequent)
+    """The lexicon of the commonest words of at most LONGEST bytes and two or more occurrences: as many whole steps of
+    the histogram as make no more than ``frequent`` words. Only these words come to the driver."""
+    counts = written(word_counts(documents, text_col).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)), "word-counts")
+    common = counts.where(F.col("n") >= least_count(counts, frequent))
     merge = merger(ranks)
     return Lexicon.compile({row["word"].encode(): merge(row["word"]) for row in common.select("word").collect()})
 
