@@ -5,8 +5,8 @@ order keeps: repeated |= their repeated | (once & their once), once |= their onc
 anywhere therefore has all its bits in the merged repeated filter; there are no false negatives. False positives
 only mean that more rows are shuffled to the exact step.
 
-The filter has 16 bits for each row, in a power of two, up to MAX_BITS; beyond that it fills up and more rows
-take the exact path, so results don't depend on its size. MAX_BITS bounds what is collected and broadcast.
+The filter has 16 bits for each row, in a power of two. MAX_BITS bounds what is collected and broadcast; a caller with
+more rows than that divides its hashes into ranges with a filter each (form_copies). Results don't depend on its size.
 """
 
 from __future__ import annotations
