@@ -8,9 +8,9 @@ only the lowest bit is kept (b = 1), packed into two longs, and candidates whose
 Sizes: a pair at the threshold of 0.7 shares none of the 32 bands with probability (1 - 0.7^4)^32 = 1.5e-4, and the
 bit count is SIGMAS standard deviations below its mean with probability below 1e-5; both shrink fast above it.
 
-Buckets. Only bands that a Bloom filter of all bands has perhaps seen twice are shuffled, as a band's hash and a set's
-hash. A bucket of more than HOT sets is never paired as it is: its sets are divided again by the elements of their
-prefixes, rarest in the bucket first, which every pair at the threshold must share one of, so no pair is lost.
+Buckets. Bands are counted by their hash alone; only those that occur twice are joined back to their sets. A bucket of
+more than HOT sets is never paired as it is: its sets are divided again by the elements of their prefixes, rarest in the
+bucket first, which every pair at the threshold must share one of, so no pair is lost.
 
 Equal sets are one class before any pairing, so copies never meet in a bucket. In the pairs of records, a group of more
 than EXPAND records with exactly the same text is a star around its smallest id, which stands for them in all other
@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm import bloom
 from veristrata.llm.words import SPACE, words
 from veristrata.operators.skew import join_group_facts
 from veristrata.session import written
@@ -92,32 +91,19 @@ def _minima_of(batch: pa.RecordBatch) -> np.ndarray:
     return minima(lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py())
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of all bands, for the filter."""
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per set its low bits, packed, and the buckets of its bands."""
     for batch in batches:
-        if batch.num_rows:
-            tab = batch.column(batch.schema.get_field_index("tab_hash")).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array((_bands(_minima_of(batch)).view(np.int64) ^ tab).ravel())], names=["bucket"])
-
-
-def _signed(bits: int, held):
-    """Per set its low bits, packed, and its buckets that the filter may have seen twice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            low = _minima_of(batch)
-            packed = np.packbits((low & np.uint64(1)).astype(np.uint8), axis=0).T.copy().view(np.int64).reshape(batch.num_rows, -1)
-            tab = batch.column(batch.schema.get_field_index("tab_hash")).to_numpy()
-            buckets = (_bands(low).view(np.int64) ^ tab).T  # one row a set
-            keep = bloom.maybe_in(np.ascontiguousarray(buckets).ravel(), bits, held.value).reshape(buckets.shape)
-            at = np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(buckets[keep]))
-            k1, k2, size = (batch.column(batch.schema.get_field_index(c)) for c in ("k1", "k2", "size"))
-            yield pa.RecordBatch.from_arrays([k1, k2, size, pa.array(packed[:, 0]), pa.array(packed[:, 1]), lists], names=["k1", "k2", "size", "low1", "low2", "buckets"])
-
-    return run
+        n = batch.num_rows
+        if not n:
+            continue
+        low = _minima_of(batch)
+        packed = np.packbits((low & np.uint64(1)).astype(np.uint8), axis=0).T.copy().view(np.int64).reshape(n, -1)
+        tab = batch.column(batch.schema.get_field_index("tab_hash")).to_numpy()
+        buckets = np.ascontiguousarray((_bands(low).view(np.int64) ^ tab).T)  # one row a set
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * buckets.shape[1]), pa.array(buckets.ravel()))
+        k1, k2, size = (batch.column(batch.schema.get_field_index(c)) for c in ("k1", "k2", "size"))
+        yield pa.RecordBatch.from_arrays([k1, k2, size, pa.array(packed[:, 0]), pa.array(packed[:, 1]), lists], names=["k1", "k2", "size", "low1", "low2", "buckets"])
 
 
 _SIGNED = "k1 long, k2 long, size int, low1 long, low2 long, buckets array<bigint>"
@@ -145,11 +131,11 @@ def links(sets: DataFrame, threshold: tuple[int, int] = (7, 10), hot: int = HOT)
     t = num / den
     least = max(0.0, t - SIGMAS * 2 * ((0.5 + t / 2) * (0.5 - t / 2) / PERMUTATIONS) ** 0.5)
     rows = sets.select(F.xxhash64("tab").alias("tab_hash"), "k1", "k2", F.size("elements").alias("size"), "elements")
-    bits, held = bloom.repeated_filter(rows.select("tab_hash", "elements").mapInArrow(_banded, "bucket long"), "bucket", sets.count() * PERMUTATIONS // ROWS)
-    signed = written(rows.mapInArrow(_signed(bits, sets.sparkSession.sparkContext.broadcast(held)), _SIGNED), "near-signatures")
+    signed = written(rows.mapInArrow(_signed, _SIGNED), "near-signatures")
     banded = signed.select("k1", F.explode("buckets").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(join_group_facts(banded, sizes, ["bucket"], "n").select("bucket", "k1", "n"), "near-buckets")
+    # written, so that its size is known when it is joined: Spark broadcasts it only below spark.sql.autoBroadcastJoinThreshold
+    repeated = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-repeated")
+    met = written(banded.join(repeated, "bucket").select("bucket", "k1", "n"), "near-buckets")
     pairs = _paired(met.where(F.col("n") <= hot), "bucket")
     large = met.where(F.col("n") > hot).select("bucket", "k1")
     if not large.isEmpty():
