@@ -37,3 +37,11 @@ def bm25(texts: DataFrame, question: str, order: list[str]) -> DataFrame:
         score = score + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / length))
     scored = held.crossJoin(F.broadcast(whole)).select(*texts.columns, score.alias("raw")).where("raw > 0")
     return scored.orderBy(F.desc("raw"), *order).select(*texts.columns, F.round("raw", 6).alias("score"))
+
+
+def describe(texts: DataFrame) -> DataFrame:
+    """n_texts, n_tokens, n_terms, mean_length of the index over texts, in one row."""
+    words = texts.select(T.tokens(F.col("text")).alias("words"))
+    whole = words.agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("words")).alias("n_tokens"), F.round(F.avg(F.when(F.col("words").isNotNull(), F.size("words"))), 6).alias("mean_length"))
+    terms = words.select(F.explode("words").alias("term")).distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+    return whole.withColumn("n_terms", terms.scalar())
