@@ -3,13 +3,13 @@
 Method: a character-level bidirectional LSTM with CRF transitions (:mod:`veristrata.llm.tagger`, trained in numpy by
 :mod:`veristrata.llm.pii_train` from labelled spans; its weights are part of the package) tags overlapping windows.
 Windows are reconciled over the whole text: a span at a window's cut edge gives way to the neighbour's, spans of one
-kind that overlap are one, and of different kinds the longer wins. An exact check follows: a proposed span is trimmed
-or widened to the form of its kind that it overlaps (:mod:`veristrata.llm.pii_rules`) and dropped where none does.
-Nothing is found that the tagger didn't propose.
+kind that overlap are one, and of different kinds the longer wins. These spans are the places. Only their edges are
+settled after that (:mod:`veristrata.llm.pii_rules`): a span that means the same place as a form of its kind takes the
+form's edges, any other one ends at whole words and leaves titles and punctuation out. No form adds or drops a place.
 
-Defined cases. Null and empty texts have no places. Offsets count code points. Rows with one id are one record (the
-smallest text counts if its deliveries differ); a null id is no record. Texts of any length are read whole, window by
-window. Extra columns are ignored.
+Defined cases. Null and empty texts have no places and are given back as they are. Offsets count code points. Rows with
+one id are one record (the smallest text counts if its deliveries differ); a null id is no record. Texts of any length
+are read whole, window by window. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from veristrata.llm import pii_rules
 from veristrata.llm.tagger import KINDS, Tagger, classes_of, spans_of
 
 #: Windows overlap by more than the longest span, so each span lies whole in one of them.
-WINDOW, OVERLAP = 384, 112
+WINDOW, OVERLAP = 1024, 112
 ROWS = 512
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -81,19 +81,21 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
     return [reconciled(spans) for spans in found]
 
 
-def checked(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """The spans in the exact forms of their kinds; a form that several spans meet is given once."""
+def settled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """The spans with their edges settled; where two come to overlap the first one stays whole."""
     out: list[tuple[int, int, str]] = []
-    for a, b, k in spans:
-        kind = KINDS[k]
-        for x, y in pii_rules.forms_at(text, a, b, kind):
-            if not any(p < y and x < q for p, q, _ in out):
-                out.append((x, y, kind))
-    return sorted(out)
+    for a, b, k in sorted(spans):
+        a, b = pii_rules.edges(text, a, b, KINDS[k])
+        if out:
+            a = max(a, out[-1][1])
+        if a < b and not text[a:b].isspace():
+            out.append((a, b, KINDS[k]))
+    return out
 
 
-def personal_places(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    return [checked(text, spans) for text, spans in zip(texts, tag_texts(tagger, texts))]
+def personal_places(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+    texts = [t or "" for t in texts]
+    return [settled(text, spans) for text, spans in zip(texts, tag_texts(tagger, texts))]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +118,10 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = part.column(1).to_pylist()
             out, n = [], []
             for text, places in zip(texts, personal_places(tagger, texts)):
+                if text is None:
+                    out.append(None)
+                    n.append(0)
+                    continue
                 pieces, last = [], 0
                 for a, b, kind in places:
                     pieces += [text[last:a], PLACEHOLDERS[kind]]
@@ -126,16 +132,16 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(table: DataFrame, text_col: str) -> DataFrame:
-    """One row per record with a text, spread evenly: a task's cost is its characters."""
-    return table.where(F.col("id").isNotNull() & (F.length(text_col) > 0)).groupBy(F.col("id").cast("string").alias("id")).agg(F.min(text_col).alias("text"))
+    """One row per record, spread evenly: a task's cost is its characters."""
+    return table.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("string").alias("id")).agg(F.min(text_col).alias("text"))
 
 
 def places(table: DataFrame, tab: str, text_col: str) -> DataFrame:
     """tab, record_id, start_offset, end_offset, kind of every place with personal information."""
     schema = "record_id string, start_offset int, end_offset int, kind string"
-    return _records(table, text_col).mapInArrow(_find, schema).select(F.lit(tab).alias("tab"), "record_id", "start_offset", "end_offset", "kind")
+    return _records(table.where(F.length(text_col) > 0), text_col).mapInArrow(_find, schema).select(F.lit(tab).alias("tab"), "record_id", "start_offset", "end_offset", "kind")
 
 
 def masked(table: DataFrame, tab: str, text_col: str) -> DataFrame:
-    """tab, record_id, text with placeholders, n_places of every record with a text."""
+    """tab, record_id, text with placeholders, n_places of every record."""
     return _records(table, text_col).mapInArrow(_mask, "record_id string, text string, n_places int").select(F.lit(tab).alias("tab"), "record_id", "text", "n_places")
