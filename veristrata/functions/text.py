@@ -132,7 +132,23 @@ def content_id(prefix: str, json: Column, domain: str = DOMAIN) -> Column:
 
 
 def canonical_path(path: Column) -> Column:
-    """A path without empty and "." parts, each ".." taking the part before it (none above the root)."""
+    """A path without empty and "." parts, each ".." taking the part before it.
+
+    A ".." at the root stays there; one that leads out of a relative path is kept, so that it never falls inside a grant.
+    """
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(walked, "/"))
+    rooted = path.startswith("/")
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        held = (F.size(acc) > 0) & (F.when(F.size(acc) > 0, last) != "..")
+        up = F.when(held, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(rooted, acc).otherwise(F.concat(acc, F.array(p)))
+        return F.when(p == "..", up).otherwise(F.concat(acc, F.array(p)))
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(walked, "/"))
+
+
+def path_within(path: Column, prefix: Column) -> Column:
+    """Whether a canonical path is the prefix or lies below it; /ab isn't below /a."""
+    return (path == prefix) | path.startswith(F.concat(F.regexp_replace(prefix, "/+$", ""), F.lit("/")))
