@@ -3,7 +3,7 @@
 Every change is a delta: a record's arrival adds one to its key's existence, its removal takes one away, a
 reference adds one to its key's references. Counts per key are sums, so they merge from any batches in any
 order: :func:`merge_counts` adds a batch to a kept state and :func:`current_orphans` reads it off.
-:func:`found` asks the same counts as of each reference's own time.
+:func:`found` sums the same deltas up to each reference's own time.
 
 Defined cases. Ids are trimmed of Unicode white space and lower-cased; null, empty and blank ids are no
 reference and no record. Rows with one id are one record that arrives at the earliest recorded_at; where its
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.operators.skew import join_group_facts
+from veristrata.session import written
 
 #: What counts as white space (as str.strip() in Python), as a regular-expression class body.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -79,21 +80,26 @@ def current_orphans(counts: DataFrame) -> DataFrame:
     return counts.where("refs > 0 AND existing <= 0")
 
 
+def ledgers(changes: DataFrame) -> DataFrame:
+    """key, refs, ledger: references to a key, and its existence deltas in time order (an arrival and at most one removal).
+
+    Sums come first, so a key that a third of all rows refer to is one row per task before the shuffle.
+    """
+    per_time = changes.groupBy("key", F.when(F.col("existing") != 0, F.col("at")).alias("at"), F.signum("existing").cast("int").alias("sign")).agg(F.sum("refs").alias("refs"))
+    entry = F.when(F.col("sign") != 0, F.struct("at", "sign"))
+    return per_time.groupBy("key").agg(F.sum("refs").alias("refs"), F.array_sort(F.collect_list(entry)).alias("ledger"))
+
+
 def found(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """The references whose key doesn't exist at their own time: tab, field, row_id, ref_id, reason, period.
 
-    Existence at t is the sum of the key's existence deltas up to t; the reason is which delta is missing or spent.
+    Existence at t is the sum of the key's signed deltas up to t. Where it isn't positive the reason is what the ledger
+    lacks: every delta (missing), an arrival by then (late), or all but a spent one (deleted).
     """
-    uses = refs.groupBy("key").agg(F.sum(F.lit(1).cast("long")).alias("refs"))
-    ledger = targets.join(uses, "key", "right").select("key", "refs", "arrival", "removed", F.col("arrival").isNotNull().alias("known"))
-    added = F.when(F.col("arrival") <= F.col("t"), 1).otherwise(0)
-    spent = F.when(F.col("removed") <= F.col("t"), 1).otherwise(0)
-    reason = (
-        F.when(~F.col("known"), "missing")
-        .when(F.col("t").isNull(), None)
-        .when(added == 0, "late")
-        .when(added - spent <= 0, "deleted")
-    )
+    ledger = written(ledgers(deltas(refs, targets)).where("refs > 0"), "ledgers")
+    upto = F.filter("ledger", lambda x: x["at"] <= F.col("t"))
+    existing = F.aggregate(upto, F.lit(0), lambda total, x: total + x["sign"])
+    reason = F.when(F.size("ledger") == 0, "missing").when(F.col("t").isNull() | (existing > 0), None).when(F.exists(upto, lambda x: x["sign"] > 0), "deleted").otherwise("late")
     return (
         join_group_facts(refs, ledger, ["key"], "refs")
         .withColumn("reason", reason)
@@ -102,10 +108,10 @@ def found(refs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def store_references(sources: DataFrame, evidence: DataFrame, claims: DataFrame, peer_groups: DataFrame, evaluations: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """The store's three reference fields, each with the records it names."""
+def store_references(sources: DataFrame, evidence: DataFrame, claims: DataFrame, peer_groups: DataFrame, evaluations: DataFrame) -> list[tuple[str, str, DataFrame, DataFrame]]:
+    """The store's three reference fields (table, field), each with its references and the records they name."""
     return [
-        (references(evidence, "evidence", "source_id"), records(sources, True)),
-        (references(evaluations, "evaluations", "subject_id"), records(claims, True)),
-        (references(evaluations, "evaluations", "attested_by", ","), records(peer_groups, True)),
+        ("evidence", "source_id", references(evidence, "evidence", "source_id"), records(sources, True)),
+        ("evaluations", "subject_id", references(evaluations, "evaluations", "subject_id"), records(claims, True)),
+        ("evaluations", "attested_by", references(evaluations, "evaluations", "attested_by", ","), records(peer_groups, True)),
     ]

@@ -16,7 +16,7 @@ def _pairs(spark: SparkSession, d: str):
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, (orphans.found(refs, targets) for refs, targets in _pairs(spark, d)))
+    return reduce(DataFrame.unionByName, (orphans.found(refs, targets) for _, _, refs, targets in _pairs(spark, d)))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -26,11 +26,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def p3_current(spark: SparkSession, d: str) -> DataFrame:
     """The counts' own report: keys referred to now that no record holds now."""
     out = []
-    for refs, targets in _pairs(spark, d):
+    for tab, field, refs, targets in _pairs(spark, d):
         now = orphans.current_orphans(orphans.merge_counts(orphans.deltas(refs, targets)))
-        fields = refs.select("tab", "field").limit(1)
-        out.append(now.select("key", "refs", "existing").join(F.broadcast(fields)))
-    return reduce(DataFrame.unionByName, out).select("tab", "field", F.col("key").alias("ref_id"), "refs")
+        out.append(now.select(F.lit(tab).alias("tab"), F.lit(field).alias("field"), F.col("key").alias("ref_id"), "refs"))
+    return reduce(DataFrame.unionByName, out)
 
 
 _TRIM = r"regexp_replace({}, '^[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+|[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '', 'g')"
