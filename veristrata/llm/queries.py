@@ -40,6 +40,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.found(table(spark, d, "claims"), table(spark, d, "sources"))
 
 
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    tested = site_lines.lines(table(spark, d, "claims"), table(spark, d, "sources"))
+    return tested.select("source_type", "inside", "outside", F.round("g2", 4).alias("g2"), F.col("significant")).withColumn("significant", F.col("significant").cast("int")).groupBy("source_type", "inside", "outside", "g2", "significant").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.cleaned(table(spark, d, "claims"), table(spark, d, "sources"))
 
@@ -70,8 +75,8 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
-    kinds = table(spark, d, "documents").select("doc_id", "doc_kind")
-    return p10_levels(spark, d).join(kinds, "doc_id").groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
+    out = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), keep="doc_kind")
+    return out.groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p5_found, p6_found, p6_cleaned, p7_found, p7_masked, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_classes, p4_found, p5_found, p6_found, p6_lines, p6_cleaned, p7_found, p7_masked, p8_ids, p9_containers, p9_summary, p10_levels, p10_profile)}

@@ -64,7 +64,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     name = known[word] = int.from_bytes(hashlib.blake2b(word.lower().encode(), digest_size=8).digest(), "little", signed=True)
                 own.add(name)
             lists.append(np.fromiter(own, np.int64, len(own)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "items", "kept"])
 
 
 def vocabulary(items: DataFrame) -> np.ndarray:
@@ -80,7 +80,7 @@ def _number(names):
             lists = batch.column(1)
             at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             numbers = np.searchsorted(names.value, lists.flatten().to_numpy()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers)), batch.column(2)], names=["doc_id", "items", "grade"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers)), batch.column(2), batch.column(3)], names=["doc_id", "items", "kept", "grade"])
 
     return run
 
@@ -222,24 +222,29 @@ def _apply(words, line: tuple[float, float] | None):
             if line:
                 level, error = np.clip(line[0] * level + line[1], 1, 5), abs(line[0]) * error
             n = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level), pa.array(error), pa.array(n)], names=["doc_id", "level", "error", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level), pa.array(error), pa.array(n), batch.column(2)], names=["doc_id", "level", "error", "n_words", "kept"])
 
     return run
 
 
-def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, level (1 to 5, as the raters' grades), error (its standard error), n_words (distinct)."""
+def levels(documents: DataFrame, labels: DataFrame, keep: str | None = None) -> DataFrame:
+    """doc_id, level (1 to 5, as the raters' grades), error (its standard error), n_words (distinct), and the column keep as a string."""
+    out = _levels(documents.select("doc_id", "text", (F.col(keep) if keep else F.lit(None)).cast("string").alias("kept")), labels)
+    return out.withColumnRenamed("kept", keep) if keep else out.drop("kept")
+
+
+def _levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, level double, error double, n_words int"
-    items = documents.select("doc_id", "text").mapInArrow(_items, f"doc_id {kind}, items array<bigint>")
-    items = written(items.join(grades(labels), "doc_id", "left"), "reading-items")
+    schema = f"doc_id {kind}, level double, error double, n_words int, kept string"
+    items = documents.mapInArrow(_items, f"doc_id {kind}, items array<bigint>, kept string")
+    items = written(items.join(grades(labels), "doc_id", "left").select("doc_id", "items", "kept", "grade"), "reading-items")
     names = vocabulary(items)
-    docs = written(items.mapInArrow(_number(spark.sparkContext.broadcast(names)), f"doc_id {kind}, items array<int>, grade double"), "reading-numbers")
+    docs = written(items.mapInArrow(_number(spark.sparkContext.broadcast(names)), f"doc_id {kind}, items array<int>, kept string, grade double"), "reading-numbers")
     graded = docs.where("grade IS NOT NULL")
     mean, sd, n = graded.agg(F.avg("grade"), F.stddev_pop("grade"), F.count(F.lit(1))).first()
     if not n:
-        return docs.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("error"), F.size("items").alias("n_words"))
+        return docs.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("error"), F.size("items").alias("n_words"), "kept")
     sd = sd or 1.0
     share, size = spark.sparkContext.broadcast, len(names)
     pinned = Sums(graded, None, None, size, mean, sd)
@@ -259,6 +264,6 @@ def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
         here = extrapolated(here, one, two) if here.known.sum() == two.known.sum() else two
     else:
         raise RuntimeError(f"levels still change by {others.change} after {MOST_ROUNDS} rounds")
-    raw = graded.select("doc_id", "items").mapInArrow(_apply(words, None), schema).join(grades(labels), "doc_id")
+    raw = graded.select("doc_id", "items", "kept").mapInArrow(_apply(words, None), schema).join(grades(labels), "doc_id")
     slope, x, y = raw.agg(F.coalesce(F.covar_pop("level", "grade") / F.nullif(F.var_pop("level"), F.lit(0.0)), F.lit(0.0)), F.avg("level"), F.avg("grade")).first()
-    return docs.select("doc_id", "items").mapInArrow(_apply(words, (slope, y - slope * x)), schema)
+    return docs.select("doc_id", "items", "kept").mapInArrow(_apply(words, (slope, y - slope * x)), schema)

@@ -29,6 +29,29 @@ items AS (
 common AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM items a JOIN items b ON a.tab = b.tab AND a.item = b.item AND a.id < b.id GROUP BY ALL)
 """
 
+_P6 = rf"""
+WITH one AS (SELECT id, min(text) AS text, min(json_extract_string(meta, '$.source_uri')) AS uri FROM claims WHERE text IS NOT NULL GROUP BY id),
+typed AS (SELECT one.id, text, source_type FROM one JOIN (SELECT uri, min(source_type) AS source_type FROM sources GROUP BY uri) USING (uri)),
+lines AS (SELECT id, source_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM typed),
+forms AS (SELECT id, source_type, line_no, {_LINE} AS form FROM lines WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]')),
+inside AS (SELECT source_type, form, count(DISTINCT id) AS inside FROM forms GROUP BY ALL),
+counted AS (SELECT source_type, form, inside, sum(inside) OVER (PARTITION BY form) - inside AS outside FROM inside QUALIFY inside >= 10)
+"""
+_FRACTION = "x"
+for _k in range(12, 0, -1):
+    _FRACTION = f"x + {_k / 2} / ({_FRACTION})"
+_part = lambda k, n, share: f"CASE WHEN {k} > 0 THEN {k} * ln({k} / ({n} * {share})) ELSE 0 END"
+_TESTED = f""", sizes AS (SELECT source_type, count(*) AS n_in FROM typed GROUP BY 1),
+g AS (SELECT *, (SELECT sum(n_in) FROM sizes) - n_in AS n_out, (inside + outside) / (n_in + (SELECT sum(n_in) FROM sizes) - n_in) AS share FROM counted JOIN sizes USING (source_type)),
+scored AS (SELECT *, 2 * ({_part('inside', 'n_in', 'share')} + {_part('outside', 'n_out', 'share')} + {_part('(n_in - inside)', 'n_in', '(1 - share)')} + {_part('(n_out - outside)', 'n_out', '(1 - share)')}) AS g2 FROM g),
+roots AS (SELECT *, sqrt(greatest(g2, 0) / 2) AS x, 1 / (1 + 0.3275911 * sqrt(greatest(g2, 0) / 2)) AS t FROM scored),
+valued AS (SELECT *, CASE WHEN inside * n_out < outside * n_in THEN 1.0 WHEN x < 2.5 THEN t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x)
+  ELSE exp(-x * x) / (({_FRACTION}) * 1.7724538509055159) END AS p FROM roots),
+stepped AS (SELECT *, CASE WHEN p <= 1e-300 THEN -30000 ELSE CAST(ceil(log10(p) * 100) AS INT) END AS step FROM valued),
+ranks AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS rank, sum(count(*)) OVER () AS m FROM stepped GROUP BY step),
+bound AS (SELECT max(step) AS cut FROM ranks WHERE pow(10.0, step / 100) <= 0.05 * rank / m)
+"""
+
 ORACLES = {
     "p2_classes": _SETS + """, cls AS (SELECT tab, id, list_sort(list(item)) AS s FROM items GROUP BY ALL),
 reps AS (SELECT tab, s, min(id) AS class_id, count(*) AS n_copies FROM cls GROUP BY ALL),
@@ -42,11 +65,12 @@ JOIN sizes x ON x.tab = common.tab AND x.id = id_a JOIN sizes y ON y.tab = commo
     "p1_found": _FORMS + "SELECT DISTINCT id AS claim_id, first_id FROM forms JOIN sets USING (form) WHERE n_copies > 1",
     "p1_collapsed": _FORMS + """SELECT first_id, n_copies FROM sets UNION ALL
 SELECT DISTINCT id, 1 FROM claims LEFT JOIN (SELECT id, form FROM forms WHERE form IS NOT NULL) USING (id) WHERE form IS NULL AND id IS NOT NULL""",
-    "p6_found": rf"""
-WITH one AS (SELECT id, min(text) AS text, min(json_extract_string(meta, '$.source_uri')) AS uri FROM claims WHERE text IS NOT NULL GROUP BY id),
-typed AS (SELECT one.id, text, source_type FROM one JOIN (SELECT uri, min(source_type) AS source_type FROM sources GROUP BY uri) USING (uri)),
-lines AS (SELECT id, source_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM typed),
-forms AS (SELECT id, source_type, line_no, {_LINE} AS form FROM lines WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]')),
-often AS (SELECT source_type, form FROM forms GROUP BY ALL HAVING count(DISTINCT id) >= 10)
-SELECT id AS claim_id, CAST(line_no AS INT) AS line_no FROM forms JOIN often USING (source_type, form)""",
+    "p6_found": _P6 + "SELECT id AS claim_id, CAST(line_no AS INT) AS line_no FROM forms JOIN counted USING (source_type, form)",
+    "p6_lines": _P6 + _TESTED + "SELECT source_type, inside, CAST(outside AS BIGINT) AS outside, round(g2, 4) AS g2, CAST(step <= (SELECT cut FROM bound) AND p < 1 AS INT) AS significant, count(*) AS n_lines FROM stepped GROUP BY ALL",
+    "p6_cleaned": _P6 + _TESTED + """, gone AS (SELECT id, line_no FROM forms JOIN stepped USING (source_type, form) WHERE step <= (SELECT cut FROM bound) AND p < 1),
+every AS (SELECT id, min(text) AS text FROM claims WHERE id IS NOT NULL GROUP BY id),
+pieces AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM every WHERE id IN (SELECT id FROM gone)),
+kept AS (SELECT id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM pieces ANTI JOIN gone USING (id, line_no) GROUP BY id)
+SELECT every.id AS claim_id, CASE WHEN g.n IS NULL THEN every.text ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(g.n, 0) AS INT) AS n_removed
+FROM every LEFT JOIN (SELECT id, count(*) AS n FROM gone GROUP BY id) g ON g.id = every.id LEFT JOIN kept ON kept.id = every.id""",
 }
