@@ -5,6 +5,10 @@ terminator of any script ends a sentence, with suppression of abbreviations and
 and brackets as wholes, and Thai's rule of spaces. Lines come first: headings and list items are units of their own,
 blank lines part paragraphs, single line breaks are white space.
 
+Abbreviations go by the language around them, told by script and function words near the dot, as texts change language
+from sentence to sentence; where these don't tell, all lists hold. One that is also an ordinary word only holds before
+a token with a digit, and a street's or a single letter not before a word that begins sentences and no names (The, She, In).
+
 Defined cases. Null and empty texts and texts of white space have no units. Offsets count code points; units have no
 white space at their ends. Rows with one id are one record (the smallest text counts if its deliveries differ); a null
 id is no record. A bracket or quote without its other half protects nothing, except in a fragment, where a half that
@@ -13,6 +17,7 @@ closes first protects from the start, and one left open protects to the end. Ext
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,22 +25,44 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations that never end a sentence, by language (single letters never do either).
+#: Abbreviations that never end a sentence, by language (single letters don't either).
 NEVER = {
     "en": "mr mrs ms dr prof st rev capt sgt fig figs vol vols pp sec secs no nos approx dept ext tel vs viz cf i.e e.g rd apt mt messrs",
-    "de": "nr ca bzw hr tel vgl evtl ggf inkl bd hrsg abb d.h z.b u.a geb dipl ing str",
-    "fr": "mme mlle mm cf p.ex env boul chap fig tél c.-à-d",
-    "es": "sr sra srta dra ud uds núm pág págs avda tfno aprox ej p.ej",
+    "de": "nr ca bzw hr tel vgl evtl ggf inkl bd hrsg abb d.h z.b u.a geb dipl ing str dr prof st",
+    "fr": "mme mlle mm cf p.ex env boul chap fig tél c.-à-d dr st no",
+    "es": "sr sra srta dra ud uds núm pág págs avda tfno aprox ej p.ej dr fig cf vol",
     "ru": "рис табл стр гл им ул просп проф акад доц тыс руб коп напр т.е тел кв корп см ср",
     "hi": "डॉ श्री प्रो",
 }
 #: Abbreviations that end a sentence where the next one may begin.
 AT_END = "etc usw inc ltd co corp jr a.m p.m u.s u.k u.n др г гг al bros"
+#: Abbreviations that are ordinary words too and only hold before a number.
+BEFORE_NUMBER = {"en": "no nos sec secs fig figs", "de": "ca str", "fr": "mm no env", "es": "ej", "ru": "см", "hi": ""}
+#: Words that begin sentences and no names, after a title or a single letter.
+BEGIN = "the he she it we they this that these those a an in on at but and so then there if when what who your his her its our"
+#: Frequent words that tell the language of a text.
+TELLING = {
+    "en": "the of and was is were that with for by it had this",
+    "de": "der die das und ist nicht von mit den ein eine wurde im auf",
+    "fr": "le la les des est une du dans et pas pour que un",
+    "es": "el la los las del que una por con para se y es",
+}
+
 #: German words before or after an ordinal number.
 BEFORE_ORDINAL = "am im der die das den dem des vom zum zur bis ab seit beim"
 AFTER_ORDINAL = "januar februar märz april mai juni juli august september oktober november dezember fassung"
 
-_NEVER = frozenset(w for words in NEVER.values() for w in words.split())
+_BY_LANGUAGE = {k: frozenset(words.split()) for k, words in NEVER.items()}
+_BY_LANGUAGE[""] = frozenset().union(*_BY_LANGUAGE.values())
+_NUMBERED = {k: frozenset(words.split()) for k, words in BEFORE_NUMBER.items()}
+_NUMBERED[""] = frozenset().union(*_NUMBERED.values())
+_NEVER = _BY_LANGUAGE[""]
+_BEGIN = frozenset(BEGIN.split())
+#: Characters before and after a dot that tell the language.
+BACK, AHEAD = 24, 48
+_TELLING = {k: frozenset(words.split()) for k, words in TELLING.items()}
+_LATIN_WORD = regex.compile(r"\p{Latin}+")
+_SCRIPTS = [(regex.compile(r"\p{Cyrillic}{2}"), "ru"), (regex.compile(r"\p{Devanagari}{2}"), "hi")]
 _AT_END = frozenset(AT_END.split())
 _BEFORE = frozenset(BEFORE_ORDINAL.split())
 _AFTER = frozenset(AFTER_ORDINAL.split())
@@ -58,6 +85,16 @@ _CLOSES = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『
 _OPENS = set("([{（「『【《〈«‹“„")
 
 
+def language(around: str) -> str:
+    """Language of a stretch of text; empty where neither its script nor its function words tell it from all others."""
+    words = [w.lower() for w in _LATIN_WORD.findall(around)]
+    scripts = [name for script, name in _SCRIPTS if script.search(around)]
+    if scripts:
+        return scripts[0] if len(scripts) == 1 and not words else ""
+    told = [k for k, own in _TELLING.items() if any(w in own for w in words)]
+    return told[0] if len(told) == 1 else ""
+
+
 def _protected(text: str, fragment: bool) -> list[tuple[int, int]]:
     """Spans of outermost quotations and brackets of a paragraph; their ends are after the closing mark."""
     stack: list[tuple[str, int]] = []
@@ -133,8 +170,17 @@ def _ends(text: str, m: regex.Match, stop: int) -> bool:
     token = found.group().lower().lstrip(".-'’") if found else ""
     if "." in token and token not in _NEVER and token not in _AT_END and not _INITIALS.fullmatch(token):
         token = token.rsplit(".", 1)[1]  # a sentence that began without a space
-    if token in _NEVER or (len(token) == 1 and token.isalpha()):
-        return False
+    letter = len(token) == 1 and token.isalpha()
+    if letter or token in _NEVER:
+        lang = language(text[max(0, m.start() - BACK) : m.start()] + " " + text[i : i + AHEAD])
+        following = _NEXT_WORD.match(text, i)
+        begins = bool(following) and gap and lang in ("en", "") and following.group().lower() in _BEGIN and following.group()[0].isupper() and len(following.group()) > 1
+        if not letter and token not in _BY_LANGUAGE[lang]:
+            return begins  # an abbreviation of other languages only
+        if token in _NUMBERED[lang]:
+            code = text[i : i + AHEAD].split(None, 1)[0]
+            return not lower and not (any(c.isdigit() for c in code) or (len(code) > 1 and code.isupper()))
+        return begins and (letter or token in ("st", "rd", "mt")) and "." not in text[max(0, m.start() - 3) : m.start()]
     if token in _AT_END or _INITIALS.fullmatch(token):
         return not lower
     if token.isdigit() and len(token) <= 3:
@@ -149,10 +195,13 @@ def _sentences(text: str, a: int, b: int, fragment: bool) -> Iterator[tuple[int,
     part = text[a:b]
     guarded = _protected(part, fragment) if _MARKS.search(part) else []
 
+    starts = [x for x, _ in guarded]  # sorted, without overlap
+
     def inside(i: int) -> bool:
-        return any(x < i < y for x, y in guarded)
+        k = bisect.bisect_left(starts, i) - 1
+        return k >= 0 and guarded[k][0] < i < guarded[k][1]
 
-    opening = {x for x, _ in guarded}
+    opening = set(starts)
     cuts = set()
     for m in _END.finditer(part):
         stop = m.end()
