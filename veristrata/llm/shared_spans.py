@@ -1,11 +1,18 @@
 """P5: stretches of at least SPAN characters that a record shares with another one of its table.
 
 A position is shared when a window of SPAN characters over it occurs in another record, so it is enough to decide
-every window. Of each window one phrase of PHRASE characters is chosen, the one with the smallest hash (the leftmost of
-equal ones); equal windows choose the same phrase at the same place. Phrases that stand in one text only can't lie in
-a shared window. For the places of the others the text around is brought together by phrase and all its windows are
-compared, by a 64-bit hash of random code-point values. No phrase is left out because it is rare or frequent: a phrase
-with HOT places or more is compared by an aggregation of its windows over all tasks instead of inside one task.
+every window. Method: repeated phrases and automata. Of each window one phrase of PHRASE characters is chosen, the one with
+the smallest hash (the leftmost of equal ones); equal windows choose the same phrase at the same place. Phrases that
+stand in one text only can't lie in a shared window. The others are dealt into shards in the order of their hashes, and
+every stretch of a text around a place of one of them is streamed past its shard:
+
+- the phrases of a shard that occur, character by character, in two texts or more are confirmed;
+- they are compiled into the shard's Aho-Corasick automaton, which locates every occurrence of theirs in the stretches;
+- the windows over located occurrences are compared by a 64-bit hash of random code-point values.
+
+A shard is a batch of whole phrases, so an automaton's size is bounded and no text is streamed past a shard that it has
+no phrase of: all automata together read each text about SPAN / PHRASE times, however many they are. No phrase is left out
+because it is rare or frequent: one with HOT places or more has its windows compared by an aggregation over all tasks.
 
 Equal texts are one text before any comparing; a text that several records hold is shared as a whole.
 
@@ -17,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,24 +113,52 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.maximum(pos - BEFORE, 0)
         around = [texts[o][a : p + SPAN] for o, a, p in zip(owner.tolist(), first.tolist(), pos.tolist())]
         k1, k2 = (pa.array(batch.column(i).to_numpy()[owner]) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("hot"), k1, k2, pa.array(first.astype(np.int32)), pa.array(around, pa.string())], names=["h", "hot", "k1", "k2", "first", "around"])
-
-
-def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start in its text and hash of each window of the column around."""
-    codes, at = _codes(batch.column("around").to_pylist())
+        yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("hot"), k1, k2, flat.field("pos"), pa.array(first.astype(np.int32)), pa.array(around, pa.string())], names=["h", "hot", "k1", "k2", "pos", "first", "around"])
+
+
+def _located(around: list[str], phrase_at: np.ndarray, text: np.ndarray, confirm: bool) -> list[tuple[int, int]]:
+    """Row and start of every occurrence of the shard's phrases; confirm: only of those that two texts hold."""
+    first: dict[str, int] = {}
+    phrases: set[str] = set()
+    for row, at, own in zip(around, phrase_at.tolist(), text.tolist()):
+        phrase = row[at : at + PHRASE]
+        if not confirm or first.setdefault(phrase, own) != own:
+            phrases.add(phrase)
+    if not phrases:
+        return []
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        automaton.add_word(phrase)
+    automaton.make_automaton()
+    return [(i, end - PHRASE + 1) for i, row in enumerate(around) for end, _ in automaton.iter(row)]
+
+
+def _windows(batch: pa.RecordBatch, confirm: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start in its text and hash of each window of the column around that holds a located phrase."""
+    around, first = batch.column("around").to_pylist(), batch.column("first").to_numpy()
+    hits = _located(around, batch.column("pos").to_numpy() - first, _text_names(batch), confirm)
+    codes, at = _codes(around)
     h = _hashes(codes, SPAN)[0]
+    holds = np.zeros(len(codes) + 1, np.int64)
+    if hits:
+        row, start = (np.array(x) for x in zip(*hits))
+        np.add.at(holds, at[row] + np.maximum(start - BEFORE, 0), 1)
+        np.add.at(holds, at[row] + start + 1, -1)
     owner = _owners(at, SPAN, len(h))
-    good = np.flatnonzero(owner >= 0)
+    good = np.flatnonzero((owner >= 0) & (np.cumsum(holds)[: len(h)] > 0))
     row = owner[good]
-    return row, good - at[row] + batch.column("first").to_numpy()[row], h[good]
+    return row, good - at[row] + first[row], h[good]
+
+
+def _text_names(batch: pa.RecordBatch) -> np.ndarray:
+    return _mixed(batch.column("k1").to_numpy().view(np.uint64)) ^ batch.column("k2").to_numpy().view(np.uint64)
 
 
 def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
     """k1, k2, a, b of the stretches whose windows occur in two texts of the batch, which holds whole phrases."""
-    row, start, h = _windows(batch)
+    row, start, h = _windows(batch, True)
     k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-    text = _mixed(k1.view(np.uint64)) ^ k2.view(np.uint64)
+    text = _text_names(batch)
     order = np.argsort(h)
     begin = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.empty(0, np.int64)
     hit = np.zeros(len(h), bool)
@@ -154,7 +190,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, start, h = _windows(batch)
+        row, start, h = _windows(batch, False)
         k1, k2 = (batch.column(c).to_numpy()[row] for c in ("k1", "k2"))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(start.astype(np.int32))], names=["w", "k1", "k2", "a"])
 
@@ -187,7 +223,7 @@ def spans(table: DataFrame, tab: str, column: str, hot: int = HOT) -> DataFrame:
     name = F.struct("k1", "k2")
     repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("h", "n")
     marks = join_group_facts(places, repeated, ["h"], "n").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", (F.col("n") >= hot).alias("hot"))).alias("marks"))
-    around = texts.join(marks, ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(_around, "h long, hot boolean, k1 long, k2 long, first int, around string")
+    around = texts.join(marks, ["k1", "k2"]).select("k1", "k2", "text", "marks").mapInArrow(_around, "h long, hot boolean, k1 long, k2 long, pos int, first int, around string")
     around = written(around, "shared-around")
     found = around.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, _RUN)
     windows = around.where("hot").mapInArrow(_spread, "w long, k1 long, k2 long, a int")
