@@ -55,7 +55,7 @@ def _hashes(codes: np.ndarray, *lengths: int) -> list[np.ndarray]:
     while size <= max(lengths):
         parts[size] = (step, power)
         step = step[: max(len(step) - size, 0)] * power + step[size:]
-        power, size = power * power, size * 2
+        power, size = np.uint64(int(power) ** 2 % (1 << 64)), size * 2
     for length in lengths:
         whole, done = None, 0
         for s in sorted(parts, reverse=True):

@@ -52,7 +52,15 @@ ranks AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS rank, sum(count(*))
 bound AS (SELECT max(step) AS cut FROM ranks WHERE pow(10.0, step / 100) <= 0.05 * rank / m)
 """
 
+_SPANS = """
+WITH rec AS (SELECT 'claims' AS tab, id AS record_id, min(text) AS t FROM claims WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'sources', id, min(content) FROM sources WHERE id IS NOT NULL GROUP BY id),
+win AS (SELECT tab, record_id, a, substr(t, a + 1, 80) AS w FROM (SELECT tab, record_id, t, unnest(range(0, len(t) - 79)) AS a FROM rec WHERE len(t) >= 80)),
+sh AS (SELECT tab, record_id, a FROM win JOIN (SELECT tab, w FROM win GROUP BY tab, w HAVING count(DISTINCT record_id) > 1) USING (tab, w)),
+isl AS (SELECT *, sum(CASE WHEN a <= before + 80 THEN 0 ELSE 1 END) OVER (PARTITION BY tab, record_id ORDER BY a) AS g FROM (SELECT *, lag(a) OVER (PARTITION BY tab, record_id ORDER BY a) AS before FROM sh))
+SELECT tab, record_id, CAST(min(a) AS INT) AS start_offset, CAST(max(a) + 80 AS INT) AS end_offset FROM isl GROUP BY tab, record_id, g"""
+
 ORACLES = {
+    "p5_found": _SPANS,
     "p2_classes": _SETS + """, cls AS (SELECT tab, id, list_sort(list(item)) AS s FROM items GROUP BY ALL),
 reps AS (SELECT tab, s, min(id) AS class_id, count(*) AS n_copies FROM cls GROUP BY ALL),
 near AS (SELECT common.tab, id_a, id_b FROM common
