@@ -66,7 +66,7 @@ def speaker(source_type: Column) -> Column:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def posts(spark: SparkSession, folder: str, kind: str, author: str | None = None) -> DataFrame:
