@@ -186,8 +186,8 @@ def assigned(sizes: DataFrame, specs: DataFrame, n_items: int, shard: int = SHAR
     none = sizes.where("false").select("doc_id", "n_tokens", "row", F.struct(F.lit(0).cast("long").alias("spec_id"), F.lit(0).cast("long").alias("capacity")).alias("spec"))
     items = reduce(DataFrame.unionByName, each or [none]).select("doc_id", "n_tokens", "row", "spec.*")
     full = F.floor(F.col("n_tokens") / F.col("capacity"))
-    whole = items.where("n_tokens >= capacity").select("spec_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no"))
-    whole = whole.select("spec_id", "doc_id", F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"), F.concat_ws("-", "spec_id", F.lit("full"), "doc_id", "piece_no").alias("container_id"))
+    whole = items.where("n_tokens >= capacity").select("spec_id", "doc_id", "row", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no"))
+    whole = whole.select("spec_id", "doc_id", F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"), F.concat_ws("-", "spec_id", F.lit("full"), "row", "piece_no").alias("container_id"))
     rest = items.where("n_tokens = 0 OR n_tokens % capacity > 0").select(
         "spec_id", "doc_id", full.cast("int").alias("piece_no"), (full * F.col("capacity")).cast("long").alias("start_token"), (F.col("n_tokens") % F.col("capacity")).alias("n_tokens"), "capacity",
         F.pmod(F.xxhash64("row"), F.lit(max(1, round(n_items / shard)))).alias("shard"),
