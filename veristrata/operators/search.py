@@ -6,10 +6,13 @@ A question without terms matches nothing. Scores are rounded to 6 places and ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
+from veristrata.session import written
 
 K1, B = 1.5, 0.75
 
@@ -22,21 +25,23 @@ def term_stats(texts: DataFrame) -> DataFrame:
 
 
 def bm25(texts: DataFrame, question: str, order: list[str]) -> DataFrame:
-    """The columns of texts and score, for every text with a score above 0."""
+    """The columns of texts and score, for every text with a score above 0.
+
+    One pass over the texts: statistics of all of them are observed while the few that hold a term are written.
+    """
     spark = texts.sparkSession
     terms = spark.range(1).select(T.terms(T.tokens(F.lit(question))).alias("t")).first()["t"]
-    words = T.tokens(F.col("text"))
-    counts = [F.size("words") - F.size(F.array_remove("words", t)) for t in terms]
-    held = texts.withColumn("words", words).select(*texts.columns, F.size("words").alias("dl"), F.array(*counts).cast("array<int>").alias("tf"))
-    # one row whatever the number of texts
-    whole = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"), F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).cast("array<long>").alias("df"))
-    length = F.when(F.col("mean_dl") > 0, F.col("mean_dl")).otherwise(1.0)
+    counts = [F.size("_words") - F.size(F.array_remove("_words", t)) for t in terms]
+    held = texts.withColumn("_words", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))).select(*texts.columns, F.size("_words").alias("_dl"), F.array(*counts).cast("array<int>").alias("_tf"))
+    seen = Observation()
+    facts = [F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("mean"), *(F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms)))]
+    matched = written(held.observe(seen, *facts).where(F.exists("_tf", lambda n: n > 0)), "matched-texts")
+    n, length = seen.get.get("n", 0), seen.get.get("mean") or 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col("tf")[i], F.col("df")[i]
-        score = score + F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / length))
-    scored = held.crossJoin(F.broadcast(whole)).select(*texts.columns, score.alias("raw")).where("raw > 0")
-    return scored.orderBy(F.desc("raw"), *order).select(*texts.columns, F.round("raw", 6).alias("score"))
+        tf, idf = F.col("_tf")[i], math.log((n - seen.get.get(f"df{i}", 0) + 0.5) / (seen.get.get(f"df{i}", 0) + 0.5) + 1)
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / length))
+    return matched.withColumn("_raw", score).where("_raw > 0").orderBy(F.desc("_raw"), *order).select(*texts.columns, F.round("_raw", 6).alias("score"))
 
 
 def describe(texts: DataFrame) -> DataFrame:

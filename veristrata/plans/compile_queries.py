@@ -9,14 +9,14 @@ from veristrata.operators import ask as asking
 from veristrata.operators.compile import Compiled, compile_corpus
 from veristrata.plans.text_queries import QUESTION
 from veristrata.plans.verdict_queries import _NORM, _SCORE
-from veristrata.session import table
+from veristrata.session import spread, table
 
 #: Fixed value: a question that nothing answers.
 UNANSWERED = "quux zyzzyva"
 
 
 def _compiled(spark: SparkSession, d: str) -> Compiled:
-    return compile_corpus(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uri"), F.col("text").alias("content"), F.col("source").alias("source_type")))
+    return compile_corpus(spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uri"), F.col("text").alias("content"), F.col("source").alias("source_type"))))
 
 
 def compiled_claims(spark, d):

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
 from veristrata.operators import search, segment
-from veristrata.session import table
+from veristrata.session import spread, table
 
 #: Fixed value: the question bm25_search asks.
 QUESTION = "which evidence supports the audit of the claim"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.segments(table(spark, d, "documents"), "doc_id", "text")
+    return segment.segments(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def segment_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,9 @@ def written(df: DataFrame, label: str, *parts: str) -> DataFrame:
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores is dealt out to all of them; a larger one is left where it lies."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
