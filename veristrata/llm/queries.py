@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm import containers, encode, form_copies, near_copies, pii, reading, sentences, shared_spans, site_lines, sql
-from veristrata.session import table
+from veristrata.session import spread, table
 
 ORACLES = sql.ORACLES
 
@@ -58,11 +58,11 @@ def p7_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "documents"))
+    return encode.encoded(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     return containers.assigned(encode.encoded(documents, only_count=True), table(spark, d, "container_specs"), documents.count())
 
 
@@ -71,11 +71,11 @@ def p9_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return reading.levels(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "reading_labels"))
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
-    out = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), keep="doc_kind")
+    out = reading.levels(spread(table(spark, d, "documents").select("doc_id", "text", "doc_kind")), table(spark, d, "reading_labels"), keep="doc_kind")
     return out.groupBy("doc_kind", F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_words"), 1).alias("mean_words"))
 
 
