@@ -1,12 +1,12 @@
 """python -m veristrata.llm.pii_train DATA_DIR [OUT.npz]: trains the tagger of :mod:`veristrata.llm.pii`.
 
-Labelled rows, a bounded sample (STAGES) of two kinds, seeded; the second stage has more texts without any place:
+Labelled rows, a bounded sample (STAGES) of two kinds, seeded; later stages have more texts without any place and more made ones:
 
 - windows of the texts of DATA_DIR, labelled by the forms of :mod:`veristrata.llm.pii_rules`. Most names in them are
   replaced by names of name_list, of the lists below and by invented ones with any ending, so that the tagger has to go
   by where a name stands and not by the endings that the forms know;
-- sentences of the templates below, with slots filled by generators for each kind and with places, organisations,
-  handles, versions, tickets, dates and record ids that are none.
+- sentences of the templates below, and frames of random common words, with slots filled by generators for each kind
+  and with places, organisations, handles, versions, tickets, dates and record ids that are none.
 
 Some windows change case.
 """
@@ -24,10 +24,11 @@ from veristrata.llm import pii_rules
 from veristrata.llm.tagger import Tagger, classes_of, tags_of
 
 WINDOW = 200
-#: Two stages: labelled rows, share of them made from templates, share of texts without a place that are taken, epochs, rate.
-STAGES = [(14000, 0.3, 0.3, 12, 0.012), (22000, 0.2, 0.8, 9, 0.008)]
+#: Stages: labelled rows, share of them made from templates and frames, share of texts without a place that are taken, epochs, rate.
+STAGES = [(14000, 0.3, 0.3, 12, 0.012), (22000, 0.2, 0.8, 9, 0.008), (26000, 0.4, 0.6, 7, 0.008), (24000, 0.32, 0.9, 5, 0.006)]
 _VOWELS = "aeiouy"
-_ONSETS = "b br c d dr f fl g gl h j k kl kv l m n p pl r s sk st str t th tr v w y z".split()
+_ONSETS = "b br c ch cz d dr f fl g gh gl h j k kl kv kw l ll m mb n nd ng p pl r rr s sch sh sk st str sz t th tr ts v w y z".split()
+_GIVEN_ENDINGS = "a ia ie ine ina etta elle ette ira isa ika as is us os an en in on ael iel ard rik do to ro vi ti li la na ne ra".split()
 _ENDINGS = "a e i o s l r n th x ez ez ov ova ski ska son berg feld stein ini elli eau ier ard ton ley man ng ang wong ura moto ko ullah zadeh ian yan".split()
 
 #: Given and family names in wide use, for training only.
@@ -60,6 +61,18 @@ TEMPLATES = [
 ]
 
 
+#: Common words that frames are made of, and words before a place or an organisation.
+COMMON = (
+    "the a and of to in that it was for on with as at by from this which had has not but they we she he you all can there been one more when who will would time "
+    "about out up them then some into could other very first any new only over after now because work even most us through day before must through where much your "
+    "way well down should people own just those how too little state good make world still see men work long here get both between life being under never day same "
+    "another know while last might great old year off come since go against came right used take three report paper table water letter office house file line page "
+    "asked told gave sent read wrote signed called met saw heard found kept left moved reached renewed checked agreed joined thanked today tomorrow yesterday soon again"
+).split()
+BEFORE_PLACE = "in at near from to across of through".split()
+LABELS = {"PHONE": ["call", "phone", "ring", "tel.", "number is", "mobile:", "fax", "dial"], "ID_NUMBER": ["passport", "passport no.", "tax number", "SSN", "SSN is", "identity card", "id number", "insurance number:", "national id"], "EMAIL": ["mail", "e-mail:", "write to", "under", "contact", "send it to"], "ADDRESS": ["at", "lives at", "moved to", "address:", "deliver to", "from", "to"]}
+
+
 def _stem(r: random.Random) -> str:
     return "".join(r.choice(_ONSETS) + r.choice(_VOWELS) for _ in range(r.choice((1, 2, 2, 3))))
 
@@ -103,15 +116,15 @@ def _digits(r: random.Random, form: str) -> str:
 
 
 def _filled(slot: str, r: random.Random, given: list[str], family: list[str]) -> str:
-    first = lambda: r.choice(given) if r.random() < 0.6 else _word(r)
-    last = lambda: r.choice(family) if r.random() < 0.6 else (_stem(r) + r.choice(_ENDINGS)).capitalize()
+    first = lambda: r.choice(given) if r.random() < 0.3 else (_word(r) if r.random() < 0.5 else (_stem(r) + r.choice(_GIVEN_ENDINGS)).capitalize())
+    last = lambda: r.choice(family) if r.random() < 0.3 else (_stem(r) + r.choice(_ENDINGS)).capitalize()
     town = lambda: r.choice(("Springfield", "Lyon", "Kraków", "Sevilla", "Osaka", "Leeds")) if r.random() < 0.2 else _word(r)
     if slot == "NAME":
         a, b, c = first(), last(), r.choice("ABCDEFGHJKLMNPRSTW")
         return r.choice([f"{a} {b}"] * 6 + [f"{a} {c}. {b}", f"{c}. {b}", f"{b}, {a}", f"{b}, {a} {c}.", f"{a}-{first()} {b}", f"{a} {b}-{last()}"])
     if slot == "EMAIL":
-        local = r.choice([f"{_stem(r)}.{_stem(r)}", _stem(r), f"{r.choice(given).lower()}.{r.choice('abcdkmst')}", f"{_stem(r)}_{r.randrange(99)}", f"{_stem(r)}+{_stem(r)}", f"{r.choice(given).lower()}{r.randrange(2000)}"])
-        domain = r.choice((f"{_stem(r)}.com", "example.org", f"{_stem(r)}.co.uk", f"mail.{_stem(r)}.net", f"{_stem(r)}-{_stem(r)}.de", f"{_stem(r)}.fr"))
+        local = r.choice([f"{_stem(r)}.{_stem(r)}", f"{first().lower()}.{last().lower()}", _stem(r), f"{r.choice(given).lower()}.{r.choice('abcdkmst')}", f"{_stem(r)}_{r.randrange(99)}", f"{_stem(r)}+{_stem(r)}", f"{r.choice(given).lower()}{r.randrange(2000)}"])
+        domain = r.choice((f"{_stem(r)}.com", "example.org", f"{_stem(r)}.co.uk", f"mail.{_stem(r)}.net", f"{_stem(r)}-{_stem(r)}.de", f"{_stem(r)}-mail.org", f"{_stem(r)[:3]}.no", f"{_stem(r)}.example.com", f"{_stem(r)}.fr"))
         return r.choice([f"{local}@{domain}"] * 5 + [f"{local} at {domain.replace('.', ' dot ')}", f"{local} [at] {domain.replace('.', ' [dot] ')}", f"{local}(at){domain}"])
     if slot == "PHONE":
         return _digits(r, r.choice(("+## ### ### ###", "+1 ###-###-####", "(###) ###-####", "0## #### ####", "###-###-####", "+##-##-###-####", "00## ## ### ## ##", "###.###.####", "0### ### ###", "+## (0)## #### ####", "+## ## ## ## ##", "(0##) ######## ext. ##"))).replace("+0", "+4")
@@ -138,6 +151,45 @@ def _filled(slot: str, r: random.Random, given: list[str], family: list[str]) ->
     return small[slot]()
 
 
+def _frame(r: random.Random, given: list[str], family: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+    """Random common words with some places and some that are none between them."""
+    out, spans, n = [], [], 0
+
+    def put(piece: str, kind: str = "") -> None:
+        nonlocal n
+        if kind:
+            spans.append((n, n + len(piece), kind))
+        out.append(piece)
+        n += len(piece)
+
+    for _ in range(r.choice((1, 2, 2, 3))):
+        start = len(out)
+        for _ in range(r.randrange(0, 7)):
+            put(r.choice(COMMON) + " ")
+        slot = r.choice(("NAME",) * 5 + ("EMAIL", "EMAIL", "PHONE", "PHONE", "ID_NUMBER", "ID_NUMBER", "ADDRESS", "ADDRESS", "town", "town", "org", "place", "day", "date", "version", "ticket", "handle", "record", "month"))
+        if slot in LABELS and (slot == "ID_NUMBER" or r.random() < 0.6):
+            put(r.choice(LABELS[slot]) + " ")
+        elif slot in ("town", "org", "place"):
+            put(r.choice(BEFORE_PLACE) + " ")
+        elif slot == "NAME" and r.random() < 0.15:
+            put(r.choice(("Dr. ", "Mr. ", "Mrs ", "Prof. ", "Ms. ")))
+        put(_filled(slot, r, given, family), slot.lower() if slot.isupper() else "")
+        if slot == "NAME" and r.random() < 0.2:
+            put(" and ")
+            put(_filled(slot, r, given, family), "name")
+        put(r.choice((" ", " ", " ", ", ", ". ")))
+        for _ in range(r.randrange(0, 7)):
+            put(r.choice(COMMON) + r.choice((" ", " ", " ", " ", ", ")))
+        if out[-1][-1:] == " ":
+            out[-1] = out[-1].rstrip(" ,")
+            n = sum(map(len, out))
+        put(r.choice((". ", ".\n", "; ", "! ")))
+        first = out[start]
+        if first[0].islower() and r.random() < 0.8:
+            out[start] = first[0].upper() + first[1:]
+    return "".join(out).rstrip(), spans
+
+
 def _made(r: random.Random, given: list[str], family: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
     out, spans, n = [], [], 0
     for template in r.choices(TEMPLATES, k=r.choice((1, 1, 2, 3))):
@@ -160,7 +212,7 @@ def labelled(texts: list[str], names: dict[str, list[str]], count: int, made: fl
     rows = []
     while len(rows) < count:
         if r.random() < made:
-            text, spans = _made(r, given, family)
+            text, spans = (_made if r.random() < 0.4 else _frame)(r, given, family)
         else:
             text = r.choice(texts)
             spans = pii_rules.forms(text)
