@@ -12,7 +12,7 @@ def values(spark, expression, *texts):
 
 
 def test_stems(spark):
-    pairs = {"boxes": "box", "glasses": "glass", "cities": "city", "passes": "pass", "glass": "glass", "claims": "claim", "quickly": "quick", "running": "run", "making": "mak", "forcing": "force", "copied": "copy", "stopped": "stop", "charged": "charge", "the": "the", "calling": "call"}
+    pairs = {"boxes": "box", "glasses": "glass", "cities": "city", "passes": "pass", "glass": "glass", "claims": "claim", "quickly": "quick", "running": "run", "making": "mak", "forcing": "force", "copied": "copy", "stopped": "stop", "charged": "charg", "forced": "force", "the": "the", "calling": "call"}
     assert values(spark, T.stem, *pairs) == list(pairs.values())
 
 
