@@ -16,9 +16,11 @@ else holds the scale of a group without grades. At the end levels are mapped to
 documents and kept within 1 and 5.
 
 Every distinct word has its own parameter: words are named by 64-bit hashes (two of a million words share one with a
-chance of 3e-8) and numbered in the order of the hashes. The parameters broadcast and collected are one number per
-distinct word, so they grow with the vocabulary. Documents stay distributed: each round is one pass whose tasks send
-the sums of the words they met, merged on the executors.
+chance of 3e-8). Neither documents nor parameters ever lie in one place. Documents are held in chunks of about
+CHUNK_ITEMS items, whose words are numbered within the chunk; the hashes are divided into ranges, and the parameters
+of a range's words lie in one partition. In a pass each chunk gets the difficulties of its own words from the ranges
+and returns the sums of these words to them. Chunks and the routes between chunks and ranges are shuffled once and read
+from there in every pass; only difficulties and sums move again. The driver sees a few numbers for each range.
 
 Defined cases. Null and empty texts have no words: they get the mean of the grades and n_words 0. Grades that are
 null or outside 1 to 5 and those of unknown documents don't count; of repeated rows of one document and rater the
@@ -29,23 +31,23 @@ a level. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.session import written
+from veristrata.session import shared_dir, written
 
-BLOCK = 1 << 13
+CHUNK_ITEMS = 1 << 21
 KAPPA, PRIOR, UNGRADED = 2.0, 1.0, 0.3
 #: Standard deviations of level. MOST_ROUNDS only guards against a fit that never settles, which raises an error.
 TOLERANCE, MOST_ROUNDS = 0.01, 500
-#: Tasks from which sums are merged in two steps.
-MANY_TASKS = 64
+#: A chunk of documents, its words' hashes in order, where the ranges cut them, and what is only needed for the result.
+_CHUNK = "chunk int, at binary, items binary, grade binary, cuts binary, words binary, rows binary"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,20 +69,38 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "items", "kept"])
 
 
-def vocabulary(items: DataFrame) -> np.ndarray:
-    """The names of all distinct words in order; a word's place is its number."""
-    return np.sort(items.select(F.explode("items").alias("w")).distinct().toArrow().column("w").to_numpy())
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _number(names):
-    """Items as numbers of words."""
+def _chunks(parts: int, ranges: int):
+    """Items as chunks; those of one partition stay together, as chunk numbers are equal to its number modulo parts."""
+    edges = np.array([-(1 << 63) + i * (1 << 64) // ranges for i in range(1, ranges)], np.int64)
+
+    def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lists = pa.concat_arrays([batch.column(1) for batch in held])
+        at = lists.offsets.to_numpy().astype(np.int64)
+        names, items = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        grade = np.concatenate([batch.column(3).to_numpy(zero_copy_only=False) for batch in held])
+        cuts = np.r_[0, np.searchsorted(names, edges), len(names)].astype(np.int64)
+        data = [x.tobytes() for x in (at - at[0], items.astype(np.int32), grade, cuts, names)]
+        rows = _packed(pa.Table.from_batches([batch.select([0, 2]) for batch in held]))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in (*data, rows))], names=["chunk", "at", "items", "grade", "cuts", "words", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId(), [], 0
         for batch in batches:
-            lists = batch.column(1)
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            numbers = np.searchsorted(names.value, lists.flatten().to_numpy()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(numbers)), batch.column(2), batch.column(3)], names=["doc_id", "items", "kept", "grade"])
+            if batch.num_rows:
+                held.append(batch)
+                size += len(batch.column(1).flatten())
+            if size >= CHUNK_ITEMS:
+                yield chunk(number, held)
+                number, held, size = number + parts, [], 0
+        if held:
+            yield chunk(number, held)
 
     return run
 
@@ -93,140 +113,295 @@ def grades(labels: DataFrame) -> DataFrame:
     return valid.join(offset, valid["rater"].eqNullSafe(offset["rater"])).groupBy("doc_id").agg(F.avg(F.col("g") - F.col("o")).alias("grade"))
 
 
+def _same(key: int) -> int:
+    return key
+
+
+def _own(part: Iterator) -> dict[str, list]:
+    """A range's records by kind."""
+    own = defaultdict(list)
+    for _, (kind, *rest) in part:
+        own[kind].append(rest)
+    return own
+
+
+def _cut(row) -> Iterator:
+    """A chunk's words for each range."""
+    cuts, names = np.frombuffer(row["cuts"], np.int64), np.frombuffer(row["words"], np.int64)
+    for key in range(len(cuts) - 1):
+        yield key, ("words", key, row["chunk"], names[cuts[key] : cuts[key + 1]])
+
+
+def _route(part: Iterator) -> Iterator:
+    """Where the words of each chunk stand among the range's words."""
+    if words := sorted(_own(part)["words"], key=lambda x: x[1]):
+        names, place = np.unique(np.concatenate([x[2] for x in words]), return_inverse=True)
+        ends = np.cumsum([len(x[2]) for x in words])[:-1]
+        yield words[0][0], ("route", words[0][0], len(names), [(x[1], p) for x, p in zip(words, np.split(place.astype(np.int32), ends), strict=True)])
+
+
+def _pieces(kind: str, parts: int):
+    """The difficulties of a range's words for each chunk."""
+
+    def run(part: Iterator) -> Iterator:
+        own = _own(part)
+        for key, _, route in own["route"]:
+            s = own[kind][0][0]
+            for chunk, place in route:
+                yield chunk % parts, (kind, chunk, key, s[place])
+
+    return run
+
+
 class Words:
-    """Difficulty s of each word, less the mean; whether it is known; its share p of the responses; the variance v."""
+    """Difficulties s of all words, unknown ones NaN, in the partitions of rdd; their mean and variance v; the number of known ones.
 
-    def __init__(self, s: np.ndarray, p: np.ndarray) -> None:
-        m = float((p * s).sum())
-        self.known = p > 0
-        self.p = p
-        self.v = max(float((p * (s - m) ** 2).sum()), 1e-9)
-        self.s = np.where(self.known, s - m, 0)
-        self.all_known = bool(self.known.all())
+    The difficulty that counts is s less the mean, and 0 for unknown words.
+    """
+
+    def __init__(self, kind: str, rdd: RDD) -> None:
+        """rdd: (range, (kind, s, n, numbers)); numbers are those of _numbers and, alike in all ranges, the pass's facts and change."""
+        self.kind, self.rdd = kind, rdd
+        found = rdd.map(lambda x: (x[1][3], x[1][4])).collect()
+        weight, s, square, known, moved, moved_square = np.sum([x[0] for x in found], axis=0)
+        self.facts, self.change = found[0][1]
+        self.known, self.weight = int(known), max(weight, 1e-9)
+        self.mean = s / self.weight
+        self.v = max(square / self.weight - self.mean**2, 1e-9)
+        #: how far levels of long documents may have moved, from the change of difficulties alone
+        self.moved = max(moved_square / self.weight - 2 * self.mean * moved / self.weight + self.mean**2 * (weight > 0), 0.0) ** 0.5 / self.v
+
+    def shared(self) -> tuple[str, float, float]:
+        """What tasks need of it, besides the pieces."""
+        return self.kind, self.mean, self.v
+
+
+def _centred(s: np.ndarray, mean: float) -> np.ndarray:
+    return np.where(np.isnan(s), 0.0, s - mean)
+
+
+def _numbers(n: np.ndarray, s: np.ndarray, before: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weight, sum and square of difficulties, known words, and sum and square of what they moved since before."""
+    level, known = np.nan_to_num(s.astype(np.float64)), ~np.isnan(s)
+    d = np.where(known, level - before, 0.0)
+    return np.array([n.sum(), (n * level).sum(), (n * level * level).sum(), known.sum(), (n * d).sum(), (n * d * d).sum()])
 
-    @classmethod
-    def of_sums(cls, n: np.ndarray, total: np.ndarray, mean: float, var: float) -> Words:
-        return cls((total - n * mean) / (max(var, 1e-9) * (n + KAPPA)), n / max(n.sum(), 1e-9))
 
-    def moved(self, other: Words) -> float:
-        """How far levels of long documents may have moved, from the change of difficulties alone."""
-        return float(((self.p * (self.s - other.s) ** 2).sum()) ** 0.5) / self.v
+def _levels_of(at: np.ndarray, items: np.ndarray, s: np.ndarray, mean: float, v: float) -> tuple[np.ndarray, np.ndarray]:
+    """Level and number of known words of each document."""
+    add = lambda x: np.diff(np.r_[0.0, np.cumsum(x, dtype=np.float64)][at])
+    known = ~np.isnan(s)
+    n = np.diff(at).astype(np.float64) if known.all() else add(known[items])
+    return add(_centred(s, mean)[items]) / (n * v + 1 / PRIOR), n
 
-    def shared(self) -> Words:
-        """What tasks need of it."""
-        out = Words.__new__(Words)
-        out.s, out.v, out.all_known, out.known = self.s.astype(np.float32), self.v, self.all_known, None if self.all_known else self.known
-        return out
 
-    def levels(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Level and number of known words of each document."""
-        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        items = lists.flatten().to_numpy()
-        add = lambda x: np.diff(np.r_[0.0, np.cumsum(x, dtype=np.float64)][at])
-        n = np.diff(at).astype(np.float64) if self.all_known else add(self.known[items])
-        return add(self.s[items]) / (n * self.v + 1 / PRIOR), n
+def _read(part: Iterator) -> Iterator:
+    """Chunks (number, at, items, grade, cuts) with the difficulties sent to them, and the rows that stand before them."""
+    sent, rows = defaultdict(list), {}
+    for _, (kind, chunk, *rest) in part:
+        if kind == "docs":
+            at, items, grade, cuts = (np.frombuffer(x, t) for x, t in zip(rest, (np.int64, np.int32, np.float64, np.int64), strict=True))
 
+            def difficulties(name: str, chunk=chunk, cuts=cuts) -> np.ndarray:
+                s = np.empty(cuts[-1], np.float32)
+                for key, x in sent.pop((name, chunk)):
+                    s[cuts[key] : cuts[key + 1]] = x
+                return s
 
-def extrapolated(a: Words, b: Words, c: Words) -> Words:
-    """Where three successive estimates are heading."""
-    r, q = b.s - a.s, c.s - 2 * b.s + a.s
-    step = max(1.0, ((c.p * r * r).sum() / max((c.p * q * q).sum(), 1e-30)) ** 0.5)
-    return Words(a.s + 2 * step * r + step * step * q, c.p)
+            yield chunk, at, items, grade, cuts, difficulties, rows.pop(chunk, None)
+        elif kind == "rows":
+            rows[chunk] = rest[0]
+        else:
+            sent[kind, chunk].append(rest)
 
 
-def _sums(words, before, many_words: int, mean: float, sd: float):
-    """Per task and block of words the weighted documents and levels, and FACTS of all documents.
+def _sums(kind: str, words, before, mean: float, sd: float):
+    """Per chunk and range the weighted documents and levels of the chunk's words, with FACTS of all its documents.
 
     Without words: graded documents at their grades. With words: the others at their levels; graded ones only count in
-    the greatest change of a level since ``before``.
+    the greatest change of a level since ``before``, and in the line from levels to grades.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, facts, change = np.zeros(many_words), np.zeros(many_words), np.zeros(6), 0.0
-        for batch in batches:
-            lists, grade = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            many, pinned = np.diff(lists.offsets.to_numpy()), ~np.isnan(grade)
+    def run(part: Iterator) -> Iterator:
+        for chunk, at, items, grade, cuts, difficulties, _ in _read(part):
+            many, pinned, facts, change = np.diff(at), ~np.isnan(grade), np.zeros(11), 0.0
+            anchor = (np.nan_to_num(grade) - mean) / sd
             if words is None:
-                level, sure = (np.nan_to_num(grade) - mean) / sd, pinned * 1.0
+                level, sure = anchor, pinned * 1.0
                 weight = sure
             else:
-                level, seen = words.value.levels(lists)
-                sure = np.where(pinned, 0.0, seen * words.value.v / (seen * words.value.v + 1 / PRIOR))
+                name, m, v = words
+                level, seen = _levels_of(at, items, difficulties(name), m, v)
+                sure = np.where(pinned, 0.0, seen * v / (seen * v + 1 / PRIOR))
                 weight = UNGRADED * sure
                 if before is not None and len(level):
-                    change = max(change, float(np.abs(level - before.value.levels(lists)[0]).max()))
-            items, w, t = lists.flatten().to_numpy(), np.repeat(weight, many), np.repeat(level, many)
-            n += np.bincount(items, w, many_words)
-            total += np.bincount(items, w * t, many_words)
+                    name, m, v = before
+                    change = float(np.abs(level - _levels_of(at, items, difficulties(name), m, v)[0]).max())
+            n = np.bincount(items, np.repeat(weight, many), cuts[-1])
+            total = np.bincount(items, np.repeat(weight * level, many), cuts[-1])
             for i, x in enumerate((sure, weight * many)):
-                facts[3 * i : 3 * i + 3] += x.sum(), (x * level).sum(), (x * level * level).sum()
-        lane = TaskContext.get().partitionId() % 16
-        met = np.flatnonzero(n)
-        parts = [part for part in np.split(met, np.flatnonzero(np.diff(met // BLOCK)) + 1) if len(part)] or [met]
-        for i, part in enumerate(parts):
-            block = int(part[0]) // BLOCK if len(part) else 0
-            data = [(part - block * BLOCK).astype(np.uint16).tobytes(), n[part].astype(np.float32).tobytes(), total[part].astype(np.float32).tobytes(), (facts if not i else np.zeros(6)).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lane], pa.int32()), *(pa.array([x], pa.binary()) for x in data), pa.array([change])], names=["block", "lane", "at", "n", "total", "facts", "change"])
+                facts[3 * i : 3 * i + 3] = x.sum(), (x * level).sum(), (x * level * level).sum()
+            x, y = level[pinned], anchor[pinned]
+            facts[6:] = len(x), x.sum(), y.sum(), (x * x).sum(), (x * y).sum()
+            for key in range(len(cuts) - 1):
+                own = slice(cuts[key], cuts[key + 1])
+                met, some, more = None, n[own], total[own]
+                if np.count_nonzero(some) < len(some) / 2:
+                    met = np.flatnonzero(some).astype(np.int32)
+                    some, more = some[met], more[met]
+                yield key, (kind, chunk, met, some.astype(np.float32), more.astype(np.float32), facts, change)
 
     return run
 
 
-_SUMS = "block int, lane int, at binary, n binary, total binary, facts binary, change double"
-
-
-def _merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    at = np.frombuffer(b"".join(part["at"]), np.uint16)
-    n, total = (np.bincount(at, np.frombuffer(b"".join(part[c]), np.float32), BLOCK) for c in ("n", "total"))
-    met = np.unique(at)
-    data = {"at": met, "n": n[met].astype(np.float32), "total": total[met].astype(np.float32), "facts": sum(np.frombuffer(x) for x in part["facts"])}
-    return pd.DataFrame({"block": [key[0]], "lane": [0], **{c: [x.tobytes()] for c, x in data.items()}, "change": [part["change"].max()]})
-
-
 class Sums:
-    """Per word the weighted documents n and their levels total, the square of levels over items; change of levels."""
-
-    def __init__(self, docs: DataFrame, words, before, many_words: int, mean: float, sd: float) -> None:
-        sums = docs.select("items", "grade").mapInArrow(_sums(words, before, many_words, mean, sd), _SUMS)
-        if docs.rdd.getNumPartitions() > MANY_TASKS:
-            sums = sums.groupBy("block", "lane").applyInPandas(_merge, _SUMS)
-        self.n, self.total, facts, self.change = np.zeros(many_words), np.zeros(many_words), np.zeros(6), 0.0
-        for row in sums.groupBy("block").applyInPandas(_merge, _SUMS).toLocalIterator():
-            part = row["block"] * BLOCK + np.frombuffer(row["at"], np.uint16).astype(np.int64)
-            self.n[part], self.total[part] = np.frombuffer(row["n"], np.float32), np.frombuffer(row["total"], np.float32)
-            facts, self.change = facts + np.frombuffer(row["facts"]), max(self.change, row["change"])
-        self.sure, self.items, self.square = facts[:3], facts[3:], facts[5]
+    """Of a range's words the weighted documents n and their levels total; facts of all documents; change of levels."""
+
+    def __init__(self, size: int, route: dict[int, np.ndarray], sent: list) -> None:
+        self.n, self.total, self.facts, self.change = np.zeros(size), np.zeros(size), np.zeros(11), 0.0
+        for chunk, met, n, total, facts, change in sorted(sent, key=lambda x: x[0]):
+            place = route[chunk] if met is None else route[chunk][met]
+            self.n[place] += n
+            self.total[place] += total
+            self.facts, self.change = self.facts + facts, max(self.change, change)
+        self.items, self.square = self.facts[3:5], self.facts[5]
 
     def scaled(self) -> Sums:
         """Levels centred and, where they spread more than the prior, scaled to it."""
-        weight, level, square = self.sure
+        weight, level, square = self.facts[:3]
         centre = level / max(weight, 1e-9)
         spread = max(1.0, (max(square / max(weight, 1e-9) - centre**2, 0.0) * PRIOR**-1) ** 0.5)
-        weight, level, square = self.items
+        weight, level = self.items
         self.total = (self.total - centre * self.n) / spread
-        self.square = (square - 2 * centre * level + centre**2 * weight) / spread**2
+        self.items = np.array([weight, (level - centre * weight) / spread])
+        self.square = (self.square - 2 * centre * level + centre**2 * weight) / spread**2
         return self
 
 
-def _words(*parts: Sums) -> Words:
-    n, total, square = (sum(getattr(p, c) for p in parts) for c in ("n", "total", "square"))
-    centre = total.sum() / max(n.sum(), 1e-9)
-    return Words.of_sums(n, total, centre, square / max(n.sum(), 1e-9) - centre**2)
+def _estimated(kind: str, before):
+    """The difficulties of a range's words from the sums of the graded documents and, where given, of the others."""
 
+    def run(part: Iterator) -> Iterator:
+        own = _own(part)
+        for key, size, route in own["route"]:
+            parts = [Sums(size, dict(route), own["pinned"])]
+            if own["others"]:
+                parts.append(Sums(size, dict(route), own["others"]).scaled())
+            n, total, items, square = (sum(getattr(p, c) for p in parts) for c in ("n", "total", "items", "square"))
+            weight = max(items[0], 1e-9)
+            centre = items[1] / weight
+            var = square / weight - centre**2
+            s = np.where(n > 0, (total - n * centre) / (max(var, 1e-9) * (n + KAPPA)), np.nan).astype(np.float32)
+            numbers = _numbers(n, s, _centred(own[before[0]][0][0], before[1]) if before else 0.0)
+            yield key, (kind, s, n.astype(np.float32), numbers, (parts[-1].facts, parts[-1].change))
 
-def _apply(words, line: tuple[float, float] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            level, seen = words.value.levels(lists)
-            error = 1 / np.sqrt(seen * words.value.v + 1 / PRIOR)
-            if line:
-                level, error = np.clip(line[0] * level + line[1], 1, 5), abs(line[0]) * error
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level), pa.array(error), pa.array(n), batch.column(2)], names=["doc_id", "level", "error", "n_words", "kept"])
+    return run
+
+
+def _curve(part: Iterator, means: tuple[float, float, float]):
+    own = _own(part)
+    if own["two"]:
+        a, b, c = (_centred(own[kind][0][0], mean) for kind, mean in zip(("here", "one", "two"), means, strict=True))
+        yield own["two"][0], a, b - a, c - 2 * b + a
+
+
+def _bend(means: tuple[float, float, float]):
+    """Squares of the first and second differences of three successive estimates."""
+
+    def run(part: Iterator) -> Iterator:
+        for (_, n, *_), _, r, q in _curve(part, means):
+            yield (n * r * r).sum(), (n * q * q).sum()
 
     return run
 
 
+def _headed(means: tuple[float, float, float], step: float | None):
+    """Where three successive estimates are heading; without a step the last."""
+
+    def run(part: Iterator) -> Iterator:
+        part = list(part)
+        for (s, n, *_), a, r, q in _curve(iter(part), means):
+            if step is not None:
+                s = np.where(np.isnan(s), np.nan, a + 2 * step * r + step * step * q).astype(np.float32)
+            yield part[0][0], ("here", s, n, _numbers(n.astype(np.float64), s), (np.zeros(11), 0.0))
+
+    return run
+
+
+class Fit:
+    """The alternation over chunks (partitions of docs) and ranges of words (partitions of routes)."""
+
+    def __init__(self, chunks: DataFrame, parts: int, ranges: int, mean: float, sd: float) -> None:
+        self.sc, self.parts, self.ranges, self.grade = chunks.sparkSession.sparkContext, parts, ranges, (mean, sd)
+        self.docs = chunks.select("chunk", "at", "items", "grade", "cuts").rdd.map(lambda x: (x[0] % parts, ("docs", *x))).partitionBy(parts, _same)
+        words = chunks.select("chunk", "cuts", "words").rdd.flatMap(_cut).partitionBy(ranges, _same)
+        self.routes = words.mapPartitions(_route).partitionBy(ranges, _same)
+        self.pinned = self.sums("pinned", None, None)
+
+    def pieces(self, words: Words) -> RDD:
+        return self.sc.union([self.routes, words.rdd]).mapPartitions(_pieces(words.kind, self.parts)).partitionBy(self.parts, _same)
+
+    def sums(self, kind: str, words: Words | None, before: Words | None, *pieces: RDD) -> RDD:
+        run = _sums(kind, words and words.shared(), before and before.shared(), *self.grade)
+        return self.sc.union([*pieces, self.docs]).mapPartitions(run).partitionBy(self.ranges, _same)
+
+    def words(self, kind: str, before: Words | None, *sums: RDD) -> Words:
+        run = _estimated(kind, before and before.shared())
+        got = self.sc.union([self.routes, self.pinned, *sums, *([before.rdd] if before else [])]).mapPartitions(run, preservesPartitioning=True)
+        return Words(kind, got.persist(StorageLevel.DISK_ONLY))
+
+    def headed(self, here: Words, one: Words, two: Words) -> Words:
+        """Extrapolated, cut off from the passes before: its table is in the folder of spark.checkpoint.dir."""
+        three, means = self.sc.union([here.rdd, one.rdd, two.rdd]), (here.mean, one.mean, two.mean)
+        step = None
+        # documents that share no word with the graded ones are reached step by step: nothing is extrapolated till then
+        if here.known == two.known:
+            r, q = np.sum(three.mapPartitions(_bend(means)).collect(), axis=0) / two.weight
+            step = max(1.0, float(r / max(q, 1e-30)) ** 0.5)
+        got = three.mapPartitions(_headed(means, step), preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
+        got.checkpoint()
+        return Words("here", got)
+
+    def settled(self) -> tuple[Words, RDD]:
+        """The words at which no level moves by TOLERANCE or more, and their pieces."""
+        here = self.words("here", None)
+        for _ in range(MOST_ROUNDS // 2):
+            held = self.pieces(here)
+            one = self.words("one", here, self.sums("others", here, None, held))
+            near = one.moved < TOLERANCE  # near enough to compare the levels themselves
+            pieces = self.pieces(one)
+            two = self.words("two", None, self.sums("others", one, here, pieces, held) if near else self.sums("others", one, None, pieces))
+            settled = near and two.change < TOLERANCE
+            done = [here, one, two]
+            if not settled:
+                here = self.headed(here, one, two)
+            for words in done:
+                words.rdd.unpersist()
+            if settled:
+                one.facts = two.facts  # of the levels at these words
+                return one, pieces
+        raise RuntimeError(f"levels still change by {two.change} after {MOST_ROUNDS} rounds")
+
+
+def _apply(words, line: tuple[float, float]):
+    def run(part: Iterator) -> Iterator:
+        for _, at, items, _, _, difficulties, rows in _read(part):
+            name, m, v = words
+            level, seen = _levels_of(at, items, difficulties(name), m, v)
+            error = 1 / np.sqrt(seen * v + 1 / PRIOR)
+            level, error = np.clip(line[0] * level + line[1], 1, 5), abs(line[0]) * error
+            doc, kept = pa.ipc.open_stream(rows).read_all().combine_chunks().columns
+            yield (_packed(pa.table([doc, pa.array(level), pa.array(error), pa.array(np.diff(at).astype(np.int32)), kept], names=["doc_id", "level", "error", "n_words", "kept"])),)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0):
+            yield from pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
+
+
 def levels(documents: DataFrame, labels: DataFrame, keep: str | None = None) -> DataFrame:
     """doc_id, level (1 to 5, as the raters' grades), error (its standard error), n_words (distinct), and the column keep as a string."""
     out = _levels(documents.select("doc_id", "text", (F.col(keep) if keep else F.lit(None)).cast("string").alias("kept")), labels)
@@ -239,31 +414,20 @@ def _levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, level double, error double, n_words int, kept string"
     items = documents.mapInArrow(_items, f"doc_id {kind}, items array<bigint>, kept string")
     items = written(items.join(grades(labels), "doc_id", "left").select("doc_id", "items", "kept", "grade"), "reading-items")
-    names = vocabulary(items)
-    docs = written(items.mapInArrow(_number(spark.sparkContext.broadcast(names)), f"doc_id {kind}, items array<int>, kept string, grade double"), "reading-numbers")
-    graded = docs.where("grade IS NOT NULL")
-    mean, sd, n = graded.agg(F.avg("grade"), F.stddev_pop("grade"), F.count(F.lit(1))).first()
+    mean, sd, n = items.agg(F.avg("grade"), F.stddev_pop("grade"), F.count("grade")).first()
     if not n:
-        return docs.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("error"), F.size("items").alias("n_words"), "kept")
+        return items.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("error"), F.size("items").alias("n_words"), "kept")
     sd = sd or 1.0
-    share, size = spark.sparkContext.broadcast, len(names)
-    pinned = Sums(graded, None, None, size, mean, sd)
-    here, words, held = _words(pinned), None, None
-    for _ in range(MOST_ROUNDS // 2):
-        held = share(here.shared())
-        one = _words(pinned, Sums(docs, held, None, size, mean, sd).scaled())
-        near = one.moved(here) < TOLERANCE  # near enough to compare the levels themselves
-        words = share(one.shared())
-        others = Sums(docs, words, held if near else None, size, mean, sd)
-        held.unpersist()
-        if near and others.change < TOLERANCE:
-            break
-        words.unpersist()
-        two = _words(pinned, others.scaled())
-        # documents that share no word with the graded ones are reached step by step: nothing is extrapolated till then
-        here = extrapolated(here, one, two) if here.known.sum() == two.known.sum() else two
-    else:
-        raise RuntimeError(f"levels still change by {others.change} after {MOST_ROUNDS} rounds")
-    raw = graded.select("doc_id", "items", "kept").mapInArrow(_apply(words, None), schema).join(grades(labels), "doc_id")
-    slope, x, y = raw.agg(F.coalesce(F.covar_pop("level", "grade") / F.nullif(F.var_pop("level"), F.lit(0.0)), F.lit(0.0)), F.avg("level"), F.avg("grade")).first()
-    return docs.select("doc_id", "items", "kept").mapInArrow(_apply(words, (slope, y - slope * x)), schema)
+    shared_dir(spark)  # difficulties are checkpointed
+    parts = items.rdd.getNumPartitions()
+    ranges = min(parts, 64 + parts // 8)
+    chunks = written(items.mapInArrow(_chunks(parts, ranges), _CHUNK), "reading-chunks")
+    fit = Fit(chunks, parts, ranges, mean, sd)
+    words, pieces = fit.settled()
+    n, x, y, xx, xy = words.facts[6:] / np.array([1, *[words.facts[6]] * 4])
+    var = xx - x * x
+    slope = sd * (xy - x * y) / var if var > 1e-12 * xx else 0.0
+    line = float(slope), float(mean + sd * y - slope * x)
+    rows = chunks.select("chunk", "rows").rdd.map(lambda r: (r[0] % parts, ("rows", *r))).partitionBy(parts, _same)
+    out = spark.sparkContext.union([pieces, rows, fit.docs]).mapPartitions(_apply(words.shared(), line))
+    return spark.createDataFrame(out, "data binary").mapInArrow(_unpacked, schema)
