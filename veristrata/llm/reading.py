@@ -30,6 +30,7 @@ a level. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -360,7 +361,9 @@ class Fit:
             step = max(1.0, float(r / max(q, 1e-30)) ** 0.5)
         got = three.mapPartitions(_headed(means, step), preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
         got.checkpoint()
-        return Words("here", got)
+        words = Words("here", got)
+        words.rdd = RDD(got._jrdd, self.sc, got._jrdd_deserializer)  # without the objects of earlier passes, which would keep their shuffle files
+        return words
 
     def settled(self) -> tuple[Words, RDD]:
         """The words at which no level moves by TOLERANCE or more, and their pieces."""
@@ -377,6 +380,9 @@ class Fit:
                 here = self.headed(here, one, two)
             for words in done:
                 words.rdd.unpersist()
+            # shuffle files of earlier passes are removed when the driver collects its garbage, which it rarely needs to
+            gc.collect()
+            self.sc._jvm.System.gc()
             if settled:
                 one.facts = two.facts  # of the levels at these words
                 return one, pieces
