@@ -30,8 +30,10 @@ a level. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,23 +53,50 @@ TOLERANCE, MOST_ROUNDS = 0.01, 500
 _CHUNK = "chunk int, at binary, items binary, grade binary, cuts binary, words binary, rows binary"
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import regex
+#: ASCII letters in lower case and digits; other ASCII characters end a word. Bytes of other characters stay.
+_ASCII = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
+#: Pieces whose names are remembered: so many, of up to so many bytes each.
+_KNOWN, _LONG = 300_000, 64
+
+
+def _name(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+class _Names(dict):
+    """By what lies between ASCII characters that end words: the name of its word or, with other characters, those of its words."""
+
+    def __init__(self) -> None:
+        import regex
+
+        self.find = regex.compile(r"[\p{L}\p{N}]+").findall
 
-    find, known = regex.compile(r"[\p{L}\p{N}]+").findall, {}
+    def __missing__(self, piece: bytes) -> int | tuple[int, ...]:
+        if piece.isascii():
+            names = _name(piece)
+        else:
+            names = tuple(_name(word.lower().encode()) for word in self.find(piece.decode()))
+        if len(piece) <= _LONG:
+            if len(self) >= _KNOWN:
+                self.clear()
+            self[piece] = names
+        return names
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = _Names()
     for batch in batches:
-        lists = []
+        flat, ends = array("q"), [0]
         for text in batch.column(1).to_pylist():
-            own = set()
-            for word in set(find(text)) if text else ():
-                name = known.get(word)
-                if name is None:
-                    if len(known) > 300_000:
-                        known.clear()
-                    name = known[word] = int.from_bytes(hashlib.blake2b(word.lower().encode(), digest_size=8).digest(), "little", signed=True)
-                own.add(name)
-            lists.append(np.fromiter(own, np.int64, len(own)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "items", "kept"])
+            if text:
+                data = text.encode()
+                own = map(names.__getitem__, set(data.translate(_ASCII).split()))
+                if not data.isascii():
+                    own = {name for found in own for name in (found if type(found) is tuple else (found,))}
+                flat.extend(own)
+            ends.append(len(flat))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "items", "kept"])
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -118,8 +147,15 @@ def _same(key: int) -> int:
     return key
 
 
+@functools.cache
+def _set_aside() -> None:
+    """Once in a worker: it collects garbage after every task, which would walk through all loaded modules, again in each short task of a pass."""
+    gc.freeze()
+
+
 def _own(part: Iterator) -> dict[str, list]:
     """A range's records by kind."""
+    _set_aside()
     own = defaultdict(list)
     for _, (kind, *rest) in part:
         own[kind].append(rest)
@@ -190,14 +226,19 @@ def _numbers(n: np.ndarray, s: np.ndarray, before: np.ndarray | float = 0.0) ->
 
 def _levels_of(at: np.ndarray, items: np.ndarray, s: np.ndarray, mean: float, v: float) -> tuple[np.ndarray, np.ndarray]:
     """Level and number of known words of each document."""
-    add = lambda x: np.diff(np.r_[0.0, np.cumsum(x, dtype=np.float64)][at])
-    known = ~np.isnan(s)
-    n = np.diff(at).astype(np.float64) if known.all() else add(known[items])
-    return add(_centred(s, mean)[items]) / (n * v + 1 / PRIOR), n
+    many, known = np.diff(at), ~np.isnan(s)
+    n, total = many.astype(np.float64), np.zeros(len(many))
+    if not known.all():
+        n -= np.bincount(np.searchsorted(at, np.flatnonzero(~known[items]), "right") - 1, minlength=len(many))
+    own = many > 0
+    if own.any():
+        total[own] = np.add.reduceat(_centred(s, mean)[items], at[:-1][own], dtype=np.float64)
+    return total / (n * v + 1 / PRIOR), n
 
 
 def _read(part: Iterator) -> Iterator:
     """Chunks (number, at, items, grade, cuts) with the difficulties sent to them, and the rows that stand before them."""
+    _set_aside()
     sent, rows = defaultdict(list), {}
     for _, (kind, chunk, *rest) in part:
         if kind == "docs":
