@@ -2,6 +2,7 @@
 
 import random
 
+from __spark_entry__ import queries
 from veristrata.functions.text import FUNCTION_WORDS, NEGATORS
 from veristrata.operators import verdicts
 
@@ -65,3 +66,36 @@ def test_ngrams_meet_as_hashes_and_are_never_sorted(spark):
     runs = verdicts.sequence_runs(verdicts.normalised(tables(spark, claims)[0]))
     assert {kind for _, kind in runs.dtypes} == {"bigint"}
     assert "ShuffledHashJoin" in plan_of(runs) and "SortMergeJoin" not in plan_of(runs)
+
+
+def test_a_run_anywhere_in_the_peer_attests(spark):
+    """Against plain Python over all pairs, for leads of every length."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(6)]
+    claims = [(f"c{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 24)))) for i in range(60)]
+    for i in range(60):  # runs of them with other ends and beginnings
+        own = claims[i][1].split()
+        start, end = sorted(rng.sample(range(len(own) + 1), 2))
+        claims.append((f"r{i:03d}", " ".join(own[start:end]) + rng.choice([".", "!"])))
+    seq = {i: t.rstrip(".!").split() for i, t in claims}
+    text = dict(claims)
+
+    def run(a, b):
+        return any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+
+    want = {(x, y) for x in seq for y in seq if seq[x] != seq[y] and run(seq[x], seq[y]) and text[x] not in text[y]}
+    norm = verdicts.normalised(tables(spark, claims)[0])
+    got = [tuple(r) for r in verdicts.attestations(norm, anywhere=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(seq[x][0] != seq[y][0] for x, y in want) and {1, 2, 4, 8} <= {1 << (len(seq[x]).bit_length() - 1) for x, _ in want}
+
+
+def attesting(spark, tmp_path, query):
+    """The query's rows over two claims, the first of which is a run in the middle of the second."""
+    claims = [("a", "compiles offline."), ("b", "The corpus compiles offline without network access.")]
+    spark.createDataFrame(claims, "id string, text string").write.mode("overwrite").parquet(f"{tmp_path}/claims.parquet")
+    return {tuple(r) for r in queries()[query](spark, str(tmp_path)).collect()}
+
+
+def test_attestations_find_a_run_in_the_middle(spark, tmp_path):
+    assert attesting(spark, tmp_path, "attestations") == {("a", "b")}
