@@ -99,3 +99,7 @@ def attesting(spark, tmp_path, query):
 
 def test_attestations_find_a_run_in_the_middle(spark, tmp_path):
     assert attesting(spark, tmp_path, "attestations") == {("a", "b")}
+
+
+def test_supported_claims_count_peers_with_the_run_in_the_middle(spark, tmp_path):
+    assert attesting(spark, tmp_path, "supported_claims") == {("a", 1)}
