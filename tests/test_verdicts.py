@@ -103,3 +103,9 @@ def test_attestations_find_a_run_in_the_middle(spark, tmp_path):
 
 def test_supported_claims_count_peers_with_the_run_in_the_middle(spark, tmp_path):
     assert attesting(spark, tmp_path, "supported_claims") == {("a", 1)}
+
+
+def test_supported_claims_sort_no_ngrams(spark, tmp_path):
+    spark.createDataFrame([("a", "compiles offline.")], "id string, text string").write.parquet(f"{tmp_path}/claims.parquet")
+    plan = plan_of(queries()["supported_claims"](spark, str(tmp_path)))
+    assert "ShuffledHashJoin [lead" in plan
